@@ -21,7 +21,7 @@ def _stats(column):
     def run(spark, sf_dir):
         c = table(spark, sf_dir, "candidates_and")
         return key_stats(c, column, "anchor_id", "similarity_score").select(
-            F.col("key").alias(column), "n_rows", F.col("n_items").alias("n_anchors"), F.round("mean_score", 10).alias("mean_score")
+            F.col("key").alias(column), "n_rows", F.col("n_items").alias("n_anchors"), F.round("mean_score", 12).alias("mean_score")
         )
 
     return run
@@ -30,7 +30,7 @@ def _stats(column):
 def _stats_sql(column):
     return f"""
 SELECT {column}, count(*) AS n_rows, count(DISTINCT anchor_id) AS n_anchors,
-       round(avg(CASE WHEN NOT isnan(similarity_score) THEN similarity_score END), 10) AS mean_score
+       round(avg(CASE WHEN NOT isnan(similarity_score) THEN similarity_score END), 12) AS mean_score
 FROM candidates_and GROUP BY {column}"""
 
 
