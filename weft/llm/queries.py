@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.llm.components import components
+from weft.llm.terms import gram_counts, marked
 from weft.llm.topn import top_n
 from weft.plans.runtime import table
 
@@ -31,6 +33,96 @@ placed AS (
   FROM best WHERE k = 1)
 SELECT anchor_id, pos, candidate_id FROM placed WHERE pos <= 3"""
 
+
+MIN_RECORDS = 3
+MAX_SHARE = 0.05
+GRAM_LENGTH = 3
+
+
+def _field_terms(r):
+    """(record_id, field, terms): the acronyms, and the pieces of affiliations_norm between ; and ,
+    stripped of U+0020."""
+    pieces = F.filter(F.transform(F.split("affiliations_norm", "[;,]", -1), lambda x: F.trim(x)), lambda x: x != "")
+    fields = F.array(
+        F.struct(F.lit("affiliations_acronyms").alias("field"), F.col("affiliations_acronyms").alias("terms")),
+        F.struct(F.lit("affiliations_norm").alias("field"), pieces.alias("terms")),
+    )
+    return r.select("record_id", F.explode(fields).alias("x")).select("record_id", "x.field", "x.terms")
+
+
+def _counted(r, max_n):
+    """Term counts of both fields in one pass: each term is qualified by its field."""
+    terms = _field_terms(r).select("record_id", F.transform("terms", lambda t: F.concat("field", F.lit("\x1f"), t)).alias("terms"))
+    counts = marked(gram_counts(terms, "terms", "record_id", max_n), r.agg(F.countDistinct("record_id").alias("n")).scalar(), MIN_RECORDS, MAX_SHARE)
+    words = F.transform("gram", lambda t: F.substr(t, F.instr(t, "\x1f") + 1))
+    return counts.select(F.substring_index(F.col("gram")[0], "\x1f", 1).alias("field"), words.alias("gram"), "occurrences", "records", "mark")
+
+
+def _terms(spark, sf_dir):
+    return _counted(table(spark, sf_dir, "records_normalised"), 1).withColumn("term", F.col("gram")[0])
+
+
+def p4_found(spark, sf_dir):
+    return _terms(spark, sf_dir).filter("mark is not null").select("field", "term", "mark")
+
+
+def p4_terms(spark, sf_dir):
+    return _terms(spark, sf_dir).select("field", "term", "occurrences", "records", "mark")
+
+
+def p4_grams(spark, sf_dir):
+    counts = _counted(table(spark, sf_dir, "records_normalised"), GRAM_LENGTH)
+    return counts.select("field", F.array_join("gram", " | ").alias("gram"), F.size("gram").alias("n"), "occurrences", "records", "mark")
+
+
+_P4_GRAMS = """
+WITH seqs AS (
+  SELECT record_id, 'affiliations_acronyms' AS field, list_filter(affiliations_acronyms, lambda x: x IS NOT NULL) AS terms
+  FROM records_normalised
+  UNION ALL
+  SELECT record_id, 'affiliations_norm',
+         list_filter(list_transform(regexp_split_to_array(affiliations_norm, '[;,]'), lambda x: trim(x, ' ')), lambda x: x <> '')
+  FROM records_normalised),
+grams AS (
+  SELECT record_id, field, array_to_string(terms[i:i + n - 1], ' | ') AS gram, n
+  FROM seqs, range(1, CAST(coalesce(len(terms), 0) + 1 AS BIGINT)) AS t(i), range(1, {n} + 1) AS u(n)
+  WHERE i + n - 1 <= len(terms)),
+counted AS (
+  SELECT field, gram, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT record_id) AS records
+  FROM grams GROUP BY ALL),
+marked AS (
+  SELECT *, CASE WHEN records < 3 THEN 'rare'
+                 WHEN records > 0.05 * (SELECT count(DISTINCT record_id) FROM records_normalised) THEN 'common' END AS mark
+  FROM counted)
+"""
+
+P4_FOUND_SQL = _P4_GRAMS.format(n=1) + "SELECT field, gram AS term, mark FROM marked WHERE mark IS NOT NULL"
+P4_TERMS_SQL = _P4_GRAMS.format(n=1) + "SELECT field, gram AS term, occurrences, records, mark FROM marked"
+P4_GRAMS_SQL = _P4_GRAMS.format(n=GRAM_LENGTH) + "SELECT field, gram, n, occurrences, records, mark FROM marked"
+
+
+_OUTER = " \t\r\n\u00a0"
+
+
+def p5_found(spark, sf_dir):
+    log = table(spark, sf_dir, "routing_log_and")
+    return components(log, "anchor_id", "candidate_id", F.lower(F.btrim("label_final", F.lit(_OUTER))) == "match")
+
+
+P5_SQL = f"""
+WITH RECURSIVE links AS (
+  SELECT DISTINCT anchor_id AS a, candidate_id AS b FROM routing_log_and
+  WHERE lower(trim(label_final, '{_OUTER}')) = 'match' AND anchor_id IS NOT NULL AND candidate_id IS NOT NULL),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+nodes AS (SELECT anchor_id AS n FROM routing_log_and WHERE anchor_id IS NOT NULL
+          UNION SELECT candidate_id FROM routing_log_and WHERE candidate_id IS NOT NULL),
+reach(a, b) AS (SELECT n, n FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT min(b) AS group_id, a AS node_id FROM reach GROUP BY a"""
+
 QUERIES = {
     "p2_found": (p2_found, P2_SQL),
+    "p4_found": (p4_found, P4_FOUND_SQL),
+    "p4_terms": (p4_terms, P4_TERMS_SQL),
+    "p4_grams": (p4_grams, P4_GRAMS_SQL),
+    "p5_found": (p5_found, P5_SQL),
 }
