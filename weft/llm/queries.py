@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
+from weft.llm import packing, tokenizer
 from weft.llm.terms import gram_counts, marked
 from weft.llm.topn import top_n
 from weft.plans.runtime import table
@@ -119,7 +120,41 @@ nodes AS (SELECT anchor_id AS n FROM routing_log_and WHERE anchor_id IS NOT NULL
 reach(a, b) AS (SELECT n, n FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
 SELECT min(b) AS group_id, a AS node_id FROM reach GROUP BY a"""
 
+
+def p7_ids(spark, sf_dir):
+    return tokenizer.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_roundtrip(spark, sf_dir):
+    """Documents whose ids don't decode to their text; none are expected."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("original"))
+    decoded = tokenizer.decode(tokenizer.encode(docs, "doc_id", "original"), "doc_id", "ids")
+    return docs.join(decoded, "doc_id", "full").filter(~F.col("original").eqNullSafe(F.col("text"))).select("doc_id")
+
+
+CAPACITY = 2048
+
+
+def p8_pack(spark, sf_dir):
+    sizes = tokenizer.sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_fill(spark, sf_dir):
+    """One row: containers, tokens and the share of unused space."""
+    p = p8_pack(spark, sf_dir).filter("container is not null")
+    each = p.groupBy("container").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    return each.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"),
+        F.round(1 - F.sum("used") / (F.count(F.lit(1)) * CAPACITY), 6).alias("unused_share"), F.max("end").alias("fullest"),
+    )
+
+
 QUERIES = {
+    "p7_ids": (p7_ids, None),
+    "p7_roundtrip": (p7_roundtrip, "SELECT doc_id FROM documents WHERE false"),
+    "p8_pack": (p8_pack, None),
+    "p8_fill": (p8_fill, None),
     "p2_found": (p2_found, P2_SQL),
     "p4_found": (p4_found, P4_FOUND_SQL),
     "p4_terms": (p4_terms, P4_TERMS_SQL),
