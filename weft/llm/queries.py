@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm import packing, tokenizer
+from weft.llm import langid, lookalikes, packing, tokenizer
 from weft.llm.terms import gram_counts, marked
 from weft.llm.topn import top_n
 from weft.plans.runtime import table
@@ -150,7 +150,44 @@ def p8_fill(spark, sf_dir):
     )
 
 
+
+TEXT_FIELDS = ["authors_norm", "author_full_names_norm", "affiliations_norm"]
+
+
+def p3_cells(spark, sf_dir):
+    r = table(spark, sf_dir, "records_normalised")
+    return lookalikes.unified(r, ["source_file", "row_id_in_file"], TEXT_FIELDS)
+
+
+def p3_found(spark, sf_dir):
+    return p3_cells(spark, sf_dir).filter("changed").select("source_file", "row_id_in_file", "field")
+
+
+def p9_segments(spark, sf_dir):
+    by_line = langid.languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return by_line.select("doc_id", "seg_no", "n_words", F.col("language").alias("lang"), F.round("confidence", 6).alias("confidence"))
+
+
+def p9_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.document_languages(langid.languages(docs, "doc_id", "text", "lang"), "doc_id")
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", F.col("language").alias("lang"), F.round("confidence", 6).alias("confidence")
+    )
+
+
+def p9_found(spark, sf_dir):
+    by_line = langid.languages(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    wrong = ~F.col("label").eqNullSafe(F.col("language"))
+    return by_line.filter(wrong & (F.col("n_words") >= langid.MIN_WORDS)).select("doc_id", "seg_no", F.col("language").alias("lang"))
+
+
 QUERIES = {
+    "p3_found": (p3_found, None),
+    "p3_cells": (p3_cells, None),
+    "p9_found": (p9_found, None),
+    "p9_segments": (p9_segments, None),
+    "p9_documents": (p9_documents, None),
     "p7_ids": (p7_ids, None),
     "p7_roundtrip": (p7_roundtrip, "SELECT doc_id FROM documents WHERE false"),
     "p8_pack": (p8_pack, None),
