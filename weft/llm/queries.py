@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.llm.components import components
-from weft.llm import langid, lookalikes, packing, tokenizer
+from weft.llm import langid, lookalikes, names, packing, tokenizer
 from weft.llm.terms import gram_counts, marked
 from weft.llm.topn import top_n
 from weft.plans.runtime import table
@@ -182,7 +182,33 @@ def p9_found(spark, sf_dir):
     return by_line.filter(wrong & (F.col("n_words") >= langid.MIN_WORDS)).select("doc_id", "seg_no", F.col("language").alias("lang"))
 
 
+
+def _people(spark, sf_dir):
+    return names.link_people(
+        table(spark, sf_dir, "author_instances"), "author_instance_id", "author_raw", "author_id", table(spark, sf_dir, "given_name_aliases"), "alias", "given_name"
+    )
+
+
+def _organisations(spark, sf_dir):
+    return names.link_organisations(table(spark, sf_dir, "affil_spellings"), "spelling_id", "affil_text")
+
+
+def p1_found(spark, sf_dir):
+    people = names.pairs_within(_people(spark, sf_dir), "author_instance_id")
+    organisations = names.pairs_within(_organisations(spark, sf_dir), "spelling_id")
+    return people.select(F.lit("author").alias("kind"), "key_a", "key_b").unionByName(organisations.select(F.lit("affil").alias("kind"), "key_a", "key_b"))
+
+
+def p1_clusters(spark, sf_dir):
+    """Every mention and spelling with its cluster."""
+    people = _people(spark, sf_dir).select(F.lit("author").alias("kind"), F.col("author_instance_id").alias("key"), F.sha2("cluster", 256).alias("cluster"))
+    orgs = _organisations(spark, sf_dir).select(F.lit("affil").alias("kind"), F.col("spelling_id").alias("key"), F.sha2("cluster", 256).alias("cluster"))
+    return people.unionByName(orgs)
+
+
 QUERIES = {
+    "p1_found": (p1_found, None),
+    "p1_clusters": (p1_clusters, None),
     "p3_found": (p3_found, None),
     "p3_cells": (p3_cells, None),
     "p9_found": (p9_found, None),
