@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["weft.plans.heavy_keys_queries"]
+MODULES = ["weft.plans.heavy_keys_queries", "weft.plans.text_queries"]
 
 
 def core() -> dict:

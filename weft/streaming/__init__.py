@@ -1 +1 @@
-"""Part of weft; see README.md."""
+"""Streaming forms of incremental operators."""
