@@ -20,12 +20,16 @@ SIGNALS = {
 }
 
 
+def _shows(pattern: str):
+    return lambda item: F.coalesce(F.lower(item).rlike(pattern), F.lit(False))
+
+
 def fired_categories(evidence: Column, task: str) -> Column:
     """Sorted array of the categories that at least one evidence item shows."""
     hits = []
     for category in sorted(SIGNALS[task]):
         pattern = "|".join(sorted(SIGNALS[task][category]))
-        hits.append(F.when(F.exists(evidence, lambda x, p=pattern: F.coalesce(F.lower(x).rlike(p), F.lit(False))), F.lit(category)))
+        hits.append(F.when(F.exists(evidence, _shows(pattern)), F.lit(category)))
     return F.array_compact(F.array(*hits))
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 def word_grams(c, n_max: int = 2):
     """Lower-case words of two or more characters and their n-grams."""
     w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    parts = [w]
-    for n in range(2, n_max + 1):
-        at = F.filter(F.transform(w, lambda x, i: i + 1), lambda i, n=n: i + n - 1 <= F.size(w))
-        parts.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(w, i, n), " ")))
+    positions = F.transform(w, lambda _, i: i + 1)
+
+    def grams(n):
+        starts = F.filter(positions, lambda i: i + n - 1 <= F.size(w))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+
+    parts = [w, *(grams(n) for n in range(2, n_max + 1))]
     return F.concat(*parts)
 
 
