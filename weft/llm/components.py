@@ -2,10 +2,10 @@
 
 Each level draws an exponential shift per vertex; the larger the shift, the earlier a vertex starts to
 grow a cluster.  A vertex joins the cluster that reaches it first (or its own), ties going to the
-smaller priority.  After LAST_START + 1 rounds every vertex is in a cluster of small diameter; clusters
-become super-vertices, inter-cluster edges (a constant fraction of the edges in expectation) form the
-next level's graph, and the assignments of all levels are composed.  Shifts are capped so that a level
-has a fixed number of rounds; the cap changes cluster radii only, never the components.
+smaller order.  After LAST_START rounds every vertex is in a cluster of small diameter; clusters become
+super-vertices, inter-cluster edges (a constant fraction of the edges in expectation) form the next
+level's graph, and the assignments of all levels are composed.  Shifts are capped so that a level has a
+fixed number of rounds, one plan; the cap changes cluster radii only, never the components.
 
 All state is keyed by 8-byte vertex numbers, messages to a vertex are min-combined before the shuffle
 (so a hub costs one row per task), and each level ends in tables in the shared folder.
@@ -13,7 +13,6 @@ All state is keyed by 8-byte vertex numbers, messages to a vertex are min-combin
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,32 +29,21 @@ def _draw(level: int, salt: str):
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def _decompose(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
-    """(v, c): the cluster of each vertex of the symmetric edge table (v, w)."""
+def _decompose(edges: DataFrame, level: int) -> DataFrame:
+    """(v, c): the cluster of each vertex of the symmetric edge table (v, w).
+
+    A vertex gets the center with the smallest (start + distance, order).  As no vertex starts later than
+    LAST_START, as many relaxations over the edges settle all of them."""
     shift = -F.log(_draw(level, "shift")) / RATE
-    state = edges.select("v").distinct().select(
-        "v", (F.lit(LAST_START) - F.least(F.floor(shift), F.lit(LAST_START))).cast("int").alias("start"),
-        F.xxhash64(F.lit(level), F.lit("order"), "v").alias("order"),
-    )
-    own = F.struct("order", F.col("v").alias("c"))
-    state = state.select("v", "start", "order", F.when(F.col("start") == 0, own).alias("at"), F.lit(0).alias("since"))
-    state = state.persist(StorageLevel.MEMORY_AND_DISK)
-    used = [state]
-    for step in range(1, LAST_START + 2):
-        reach = (
-            state.filter(F.col("at").isNotNull() & (F.col("since") == step - 1))
-            .select("v", "at").join(edges, "v").groupBy(F.col("w").alias("v")).agg(F.min("at").alias("by"))
-        )
-        starts = F.when(F.col("start") <= step, own)
-        state = state.join(reach, "v", "left").select(
-            "v", "start", "order",
-            F.coalesce("at", "by", starts).alias("at"), F.when(F.col("at").isNotNull(), F.col("since")).otherwise(step).alias("since"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        used.append(state)
-    out = scratch.keep(state.select("v", F.col("at.c").alias("c")))
-    for df in used:
-        df.unpersist()
-    return out
+    start = (F.lit(LAST_START) - F.least(F.floor(shift), F.lit(LAST_START))).cast("int")
+    first = F.struct(start.alias("arrival"), F.xxhash64(F.lit(level), F.lit("order"), "v").alias("order"), F.col("v").alias("c"))
+    vertices = edges.select("v").distinct()
+    state = vertices.select("v", first.alias("at"))
+    steps = edges.withColumn("cost", F.lit(1)).unionAll(vertices.select("v", F.col("v").alias("w"), F.lit(0).alias("cost")))
+    for _ in range(LAST_START):
+        later = F.struct((F.col("at.arrival") + F.col("cost")).alias("arrival"), F.col("at.order").alias("order"), F.col("at.c").alias("c"))
+        state = state.join(steps, "v").groupBy(F.col("w").alias("v")).agg(F.min(later).alias("at"))
+    return state.select("v", F.col("at.c").alias("c"))
 
 
 def components(pairs: DataFrame, left: str, right: str, links) -> DataFrame:
@@ -79,7 +67,7 @@ def components(pairs: DataFrame, left: str, right: str, links) -> DataFrame:
     for level in range(_LONGEST):
         if edges.isEmpty():
             break
-        clusters = _decompose(edges, level, scratch)
+        clusters = scratch.keep(_decompose(edges, level))
         far = clusters.select(F.col("v").alias("w"), F.col("c").alias("d"))
         crossing = edges.filter("v < w").join(clusters, "v").join(far, "w").filter("c <> d")
         next_edges = scratch.keep(_both(crossing.select(F.least("c", "d").alias("v"), F.greatest("c", "d").alias("w")).distinct()))
