@@ -39,6 +39,7 @@ _ALIKE: dict[str, set[str]] = defaultdict(set)
 for _g in GROUPS:
     for _c in _g:
         _ALIKE[_c] |= set(_g) - {_c}
+_HEADS = frozenset(g[0] for g in GROUPS)
 
 
 def script_of(char: str) -> str:
@@ -103,7 +104,7 @@ def best_path(token: str, model: Trigrams) -> str:
                 continue
             for option in (char, *_ALIKE.get(char, ())):
                 to = script_of(option)
-                cost = REPLACED * (option != char) + SWITCHED * (script not in ("", to)) + SWITCHED * (to == "other")
+                cost = (REPLACED + (option not in _HEADS)) * (option != char) + SWITCHED * (script not in ("", to)) + SWITCHED * (to == "other")
                 context = last if script == to else "^^"
                 reach((to, context[1] + option), score + model.log(to, context, option) - cost, path + option)
         states = following
@@ -121,8 +122,10 @@ def script_trigrams(cells: DataFrame) -> DataFrame:
     """(script, gram, n) over all tokens of ``text`` that are wholly in one script."""
     tokens = cells.select(F.explode(F.split(F.lower("text"), " ")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     script = F.lit(None).cast("string")
+    other = r"\x21-\x40\x5B-\x60\x7B-\x7E"  # printable ASCII that isn't a letter
     for name, letters in (("latin", _LATIN), ("cyrillic", _CYRILLIC), ("greek", _GREEK)):
-        script = F.when(F.col("token").rlike(rf"^[\x21-\x7E&&[^a-z]]*[{letters}]([\x21-\x7E&&[^a-z]]|[{letters}])*$"), name).otherwise(script)
+        only = F.col("token").rlike(f"^[{other}{letters}]*+$") & F.col("token").rlike(f"[{letters}]")
+        script = F.when(only, name).otherwise(script)
     runs = tokens.select(script.alias("script"), "n", F.explode(F.regexp_extract_all("token", F.lit(r"\p{L}+"), F.lit(0))).alias("run"))
     padded = F.concat(F.lit("^^"), "run", F.lit("$"))
     grams = F.transform(F.sequence(F.lit(1), F.length("run") + 1), lambda i: F.substring(padded, i, F.lit(3)))
