@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,7 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
-        path = f"file://{tempfile.gettempdir()}/weft-{spark.sparkContext.applicationId}"
+        own = f"{tempfile.gettempdir()}/weft-{spark.sparkContext.applicationId}"
+        if own not in _OWN:
+            _OWN.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
     return path.rstrip("/")
 
 
