@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["weft.plans.heavy_keys_queries", "weft.plans.text_queries", "weft.plans.match_queries", "weft.plans.eval_queries", "weft.plans.source_queries"]
+MODULES = ["weft.plans.heavy_keys_queries", "weft.plans.text_queries", "weft.plans.match_queries", "weft.plans.eval_queries", "weft.plans.source_queries", "weft.plans.extra_queries"]
 
 
 def core() -> dict:
