@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.functions.text import blank_if_null, strip, tokens, words
+from weft.functions.text import blank_if_null, tokens, words
 
 
 def jaccard(a: Column, b: Column) -> Column:
