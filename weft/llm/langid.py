@@ -13,7 +13,6 @@ is their label.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -79,12 +78,14 @@ class Unigrams:
 def fit(counts: list[tuple[str, str, int]], pieces: frozenset[str], rounds: int = 2, strength: float = 300.0) -> Unigrams:
     """Piece probabilities from (language, word, count) by expectation-maximisation.
 
-    Smoothed towards the mean over languages, so that a piece rare everywhere says little.
+    Smoothed towards the mean over languages, so that a piece rare everywhere says little.  Runs of more
+    than 64 letters are no words to learn from.
     """
     where = {c: k for k, c in enumerate(LANGUAGES)}
     words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
     for language, word, n in counts:
-        words[word[:64]][where[language]] += n
+        if len(word) <= 64:
+            words[word][where[language]] += n
     flat = np.full(len(LANGUAGES), 1.0)
     model = Unigrams({}, flat * 1e-4)
     found = {p for w in words for p in _pieces_of(w, pieces)}

@@ -56,9 +56,19 @@ def script_of(char: str) -> str:
     return "other"
 
 
+#: Format characters that are seen, and others that aren't though they are no format characters.
+SEEN = frozenset(map(chr, [*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD]))
+UNSEEN = frozenset(map(chr, [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]))
+
+
+def ignorable(char: str) -> bool:
+    """Format and control characters without a glyph, fillers, variation selectors."""
+    return char in UNSEEN or (unicodedata.category(char) in ("Cf", "Cc") and not char.isspace() and char not in SEEN)
+
+
 def visible(text: str) -> str:
     """Without ignorable characters, NFKC, white space as U+0020."""
-    kept = "".join(c for c in text if unicodedata.category(c) != "Cf" and c not in "͏ᅟᅠㅤ" and not 0xFE00 <= ord(c) <= 0xFE0F)
+    kept = "".join(c for c in text if not ignorable(c))
     return "".join(" " if c.isspace() else c for c in unicodedata.normalize("NFKC", kept))
 
 
