@@ -5,8 +5,8 @@ item goes to the level (or to a new container) that leaves the smallest sum of s
 partially filled levels, which keeps levels varied enough to be completed by later items.  An item
 larger than the capacity fills whole containers by itself; only its rest is placed as an item.
 
-The stream is cut by hash into independent lanes of about ``lane_tokens`` each, a fixed amount of work
-at any corpus size; per lane only the containers still open at its end can hold waste, and those are
+The stream is cut by hash into independent lanes of about ``lane_tokens`` (at most about LANE_ITEMS
+items) each, a fixed amount of work at any corpus size; per lane only the containers still open at its end can hold waste, and those are
 packed once more, fullest first, by the same rule.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANE_TOKENS = 16_000_000
+LANE_TOKENS, LANE_ITEMS = 16_000_000, 200_000
 
 
 class Packer:
@@ -97,8 +97,8 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, lane_tokens: int
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
     rows = sized.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    lanes = max(1, round(total / lane_tokens))
+    total = rows.agg(F.sum("size").alias("tokens"), F.count_if(F.col("size") > 0).alias("items")).first()
+    lanes = max(1, round((total.tokens or 0) / lane_tokens), -(-total.items // LANE_ITEMS))
     kind = rows.schema["key"].dataType
     schema = T.StructType(
         [T.StructField("key", kind), *(T.StructField(c, T.IntegerType()) for c in ("part", "start", "length")), T.StructField("container", T.StringType()), T.StructField("offset", T.IntegerType())]
