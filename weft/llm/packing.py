@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.plans.runtime import Scratch
+
 LANE_TOKENS, LANE_ITEMS = 16_000_000, 200_000
 
 
@@ -96,7 +98,7 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, lane_tokens: int
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
-    rows = sized.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
+    rows = Scratch(sized.sparkSession, "packing").keep(sized.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size")))
     total = rows.agg(F.sum("size").alias("tokens"), F.count_if(F.col("size") > 0).alias("items")).first()
     lanes = max(1, round((total.tokens or 0) / lane_tokens), -(-total.items // LANE_ITEMS))
     kind = rows.schema["key"].dataType

@@ -70,20 +70,27 @@ def encode(
     Null and empty texts give the empty list.  ``key`` is unique; texts may be of any length; an empty
     table gives no rows; other columns are ignored.
     """
+    docs, known, table, small = _prepared(df, key, text, directory, name, broadcast_bytes)
+    spread = docs.filter(known).repartition("key").select("key", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
+    joined = spread.join(F.broadcast(table) if small else table, "word", "left")
+    gathered = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    ids = F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull()))
+    return gathered.select("key", ids.alias("ids")).unionByName(_whole_ids(docs.filter(~known), directory, name)).withColumnRenamed("key", key)
+
+
+def _prepared(df: DataFrame, key: str, text: str, directory: str, name: str, broadcast_bytes: int):
+    """(key, text) rows, the condition for splitting in Spark, the word table, whether it may be broadcast."""
     scratch = Scratch(df.sparkSession, "tokenizer")
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = ~F.col("text").rlike(_UNKNOWN)
     table = scratch.keep(word_table(docs.filter(known), directory, name))
     size = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 48)).first()[0] or 0
-    spread = docs.filter(known).repartition("key").select("key", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
-    joined = spread.join(F.broadcast(table) if size <= broadcast_bytes else table, "word", "left")
-    gathered = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull()))
-    usual = gathered.select("key", ids.alias("ids"))
-    whole = docs.filter(~known).select("text", "key").mapInArrow(_whole(directory, name), T.StructType(
-        [T.StructField("key", docs.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
-    ))
-    return usual.unionByName(whole).withColumnRenamed("key", key)
+    return docs, known, table, size <= broadcast_bytes
+
+
+def _whole_ids(docs: DataFrame, directory: str, name: str) -> DataFrame:
+    schema = T.StructType([T.StructField("key", docs.schema["key"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select("text", "key").mapInArrow(_whole(directory, name), schema)
 
 
 def _whole(directory: str, name: str):
@@ -96,9 +103,18 @@ def _whole(directory: str, name: str):
     return run
 
 
-def sizes(df: DataFrame, key: str, text: str, **options) -> DataFrame:
-    """(key, n_tokens) of each document by ``encode``; 0 for null and empty texts."""
-    return encode(df, key, text, **options).select(key, F.size("ids").alias("n_tokens"))
+def sizes(
+    df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """(key, n_tokens) of each document, the lengths of ``encode``'s lists without the lists: words are
+    counted through the word table and summed before the shuffle; 0 for null and empty texts."""
+    docs, known, table, small = _prepared(df, key, text, directory, name, broadcast_bytes)
+    counts = table.select("word", F.size("ids").alias("n"))
+    spread = docs.filter(known).select("key", F.explode_outer(words(F.col("text"))).alias("word"))
+    joined = spread.join(F.broadcast(counts) if small else counts, "word", "left")
+    usual = joined.groupBy("key").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_tokens"))
+    whole = _whole_ids(docs.filter(~known), directory, name).select("key", F.size("ids").alias("n_tokens"))
+    return usual.unionByName(whole).withColumnRenamed("key", key)
 
 
 def pieces(spark, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE) -> DataFrame:
