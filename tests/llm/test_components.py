@@ -24,9 +24,9 @@ def brute(rows):
     return sorted((find(x), x) for x in root)
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     df = spark.createDataFrame(rows, "a string, b string, l boolean").withColumn("v", F.lit(1)).withColumn("group_id", F.lit("x"))
-    return sorted((r.group_id, r.node_id) for r in components(df, "a", "b", F.col("l")).collect())
+    return sorted((r.group_id, r.node_id) for r in components(df, "a", "b", F.col("l"), **options).collect())
 
 
 def chain(n):
@@ -45,6 +45,7 @@ def chain(n):
 )
 def test_shapes(spark, rows):
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, max_degree=7) == brute(rows)  # hubs are split
 
 
 def test_random(spark):

@@ -7,8 +7,9 @@ super-vertices, inter-cluster edges (a constant fraction of the edges in expecta
 level's graph, and the assignments of all levels are composed.  Shifts are capped so that a level has a
 fixed number of rounds, one plan; the cap changes cluster radii only, never the components.
 
-All state is keyed by 8-byte vertex numbers, messages to a vertex are min-combined before the shuffle
-(so a hub costs one row per task), and each level ends in tables in the shared folder.
+All state is keyed by 8-byte vertex numbers, messages to a vertex are min-combined before the shuffle,
+vertices with very many edges are split into linked copies, and each level ends in tables in the shared
+folder.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from weft.plans.runtime import Scratch
 
 RATE = 0.6
 LAST_START = 2
+#: A vertex with more edges is split into copies, so no task holds all edges of a hub.
+MAX_DEGREE = 500_000
 _LONGEST = 64
 
 
@@ -46,7 +49,25 @@ def _decompose(edges: DataFrame, level: int) -> DataFrame:
     return state.select("v", F.col("at.c").alias("c"))
 
 
-def components(pairs: DataFrame, left: str, right: str, links) -> DataFrame:
+def _split_hubs(edges: DataFrame, level: int, most: int, scratch: Scratch) -> DataFrame:
+    """The edges with each hub's spread over copies that are linked to the hub: the same components."""
+    degrees = edges.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    hubs = scratch.keep(degrees.select("v", F.ceil(F.col("n") / most).alias("k")))
+    if hubs.isEmpty():
+        return edges
+    numbered = hubs.select("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)).alias("i"))
+    # negative numbers are free, and each level has its own range of them
+    copies = scratch.keep(numbered.withColumn("copy", -(F.monotonically_increasing_id() + 1 + level * (1 << 56))))
+    half = edges.filter("v < w")
+    for end, other in (("v", "w"), ("w", "v")):
+        known = half.join(hubs.toDF(end, "k"), end, "left").withColumn("i", F.pmod(F.xxhash64(other), "k"))
+        taken = known.join(copies.toDF(end, "i", f"{end}_copy"), [end, "i"], "left")
+        half = taken.select("v", "w", *(c for c in ("v_copy", "w_copy") if c in taken.columns))
+    moved = half.select(F.coalesce("v_copy", "v").alias("v"), F.coalesce("w_copy", "w").alias("w"))
+    return scratch.keep(_both(moved.unionAll(copies.select("v", "copy"))))
+
+
+def components(pairs: DataFrame, left: str, right: str, links, max_degree: int = MAX_DEGREE) -> DataFrame:
     """(group_id, node_id): every distinct id of the two columns with the smallest id (by UTF-8 bytes)
     of all ids linked to it directly or through others.
 
@@ -65,8 +86,11 @@ def components(pairs: DataFrame, left: str, right: str, links) -> DataFrame:
     edges = scratch.keep(_both(half.select("v", "w")))
     total = None
     for level in range(_LONGEST):
-        if edges.isEmpty():
+        size = edges.count()
+        if not size:
             break
+        if size > max_degree:
+            edges = _split_hubs(edges, level, max_degree, scratch)
         clusters = scratch.keep(_decompose(edges, level))
         far = clusters.select(F.col("v").alias("w"), F.col("c").alias("d"))
         crossing = edges.filter("v < w").join(clusters, "v").join(far, "w").filter("c <> d")

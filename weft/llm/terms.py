@@ -6,8 +6,9 @@ lexicographic order within a task, and scanned once with a stack: when the next
 its occurrences and record set are final, are written out, and are folded into its parent.
 
 Routing by first term alone would send a frequent term to one task with its whole record set.  So the
-route also has one of ``slices`` slices of the record hash: the slices of a term have disjoint records,
-hence their record counts add up, and only (n-gram, counts) rows meet in the final sum.
+route also has one of ``slices`` slices of the record hash (by default as many as the session has
+shuffle partitions, at least SLICES): the slices of a term have disjoint records, hence their record
+counts add up, and only (n-gram, counts) rows meet in the final sum.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.plans.runtime import default_parallelism
+
 SLICES = 16
 
 
@@ -58,13 +61,14 @@ def _scan(batches):
     yield flush()
 
 
-def gram_counts(df: DataFrame, sequence: str, record: str, max_n: int, slices: int = SLICES) -> DataFrame:
+def gram_counts(df: DataFrame, sequence: str, record: str, max_n: int, slices: int | None = None) -> DataFrame:
     """(gram array<string>, occurrences, records) of every n-gram, n from 1 to max_n.
 
     sequence: array<string>; null arrays and null elements give nothing (n-grams don't span a null
     element: it is left out before).  A null record id counts as an occurrence, not as a record; rows
     with one record id are one record.  Repeated rows count.  Empty tables give no rows.
     """
+    slices = slices or max(SLICES, default_parallelism(df.sparkSession))
     terms = F.filter(F.col(sequence), lambda t: t.isNotNull())
     rows = df.select(terms.alias("terms"), F.col(record).cast("string").alias("record")).filter(F.size("terms") > 0)
     suffix = F.transform(F.sequence(F.lit(1), F.size("terms")), lambda i: F.slice("terms", i, F.least(F.lit(max_n), F.size("terms") - i + 1)))
