@@ -42,9 +42,13 @@ def test_documents(spark, docs):
     assert got[5] == "en" and got[105] == "fr" and got[205] == "de" and 900 not in got
 
 
-def test_no_labels(spark, docs):
-    with pytest.raises(ValueError):
-        langid.languages(docs.withColumn("lang", F.lit("zz")), "doc_id", "text", "lang")
+def test_no_labels_and_empty(spark, docs):
+    by_line = langid.languages(docs.withColumn("lang", F.lit("zz")), "doc_id", "text", "lang")
+    rows = by_line.collect()
+    assert len(rows) == 365 and all(r.language is None and r.confidence is None for r in rows)
+    assert all(r.language is None for r in langid.document_languages(by_line, "doc_id").collect())
+    none = langid.languages(docs.limit(0), "doc_id", "text", "lang")
+    assert none.count() == 0 and langid.document_languages(none, "doc_id").count() == 0
 
 
 def test_forward_sums_all_segmentations():

@@ -165,12 +165,13 @@ def _decided(df: DataFrame) -> DataFrame:
     return df.withColumn("language", best["c"]).withColumn("confidence", 1.0 / total)
 
 
-def train(df: DataFrame, key: str, text: str, label: str, scratch: Scratch, train_docs: int = TRAIN_DOCS, directory: str = TOKENIZER_DIR) -> Unigrams:
-    """The model of a table with partly wrong labels; only labels that are one of LANGUAGES count."""
+def train(df: DataFrame, key: str, text: str, label: str, scratch: Scratch, train_docs: int = TRAIN_DOCS, directory: str = TOKENIZER_DIR) -> Unigrams | None:
+    """The model of a table with partly wrong labels; only labels that are one of LANGUAGES count.  None
+    without any such label."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).filter(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
     share = {r.label: min(1.0, train_docs / r.n) for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
-        raise ValueError("no document has a label of a known language")
+        return None
     limit = F.create_map(*(F.lit(x) for kv in share.items() for x in kv))[F.col("label")]
     draw = F.pmod(F.xxhash64("key", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     sample = scratch.keep(docs.filter(draw < limit))
@@ -190,12 +191,17 @@ def languages(df: DataFrame, key: str, text: str, label: str, train_docs: int =
     """(key, label, seg_no, n_words, language, confidence) of each line.
 
     n_words: words of two or more letters.  Null, empty and blank texts have no lines.  A line without
-    any letter has an arbitrary language with confidence 1/7.  ``key`` is unique.  An empty table, or
-    one without any usable label, is an error of training.
+    any letter has an arbitrary language with confidence 1/7.  ``key`` is unique.  An empty table gives no
+    rows; without any usable label there is no model, and language and confidence are null.
     """
     scratch = Scratch(df.sparkSession, "langid")
     model = train(df, key, text, label, scratch, train_docs, directory)
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
+    if model is None:
+        count = F.size(F.filter(line_words("line"), lambda w: F.length(F.regexp_replace(w, r"\p{M}", "")) >= 2)).cast("bigint")
+        bare = lines(docs, "key", "text", "label").select("key", "label", "seg_no", count.alias("n_words"), *(F.lit(0.0).alias(f"s{k}") for k in range(len(LANGUAGES))))
+        none = bare.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+        return none.withColumnRenamed("key", key)
     scored = _scored_lines(docs, model, scratch, ["label"], broadcast_bytes)
     return _decided(scored).withColumnRenamed("key", key)
 
@@ -203,4 +209,7 @@ def languages(df: DataFrame, key: str, text: str, label: str, train_docs: int =
 def document_languages(by_line: DataFrame, key: str) -> DataFrame:
     """(key, label, n_words, language, confidence) of each document with at least one line."""
     sums = (F.sum(f"s{k}").alias(f"s{k}") for k in range(len(LANGUAGES)))
-    return _decided(by_line.groupBy(key, "label").agg(F.sum("n_words").alias("n_words"), *sums))
+    summed = by_line.groupBy(key, "label").agg(F.sum("n_words").alias("n_words"), F.count("language").alias("_known"), *sums)
+    known = F.col("_known") > 0
+    decided = _decided(summed)
+    return decided.withColumns({c: F.when(known, F.col(c)) for c in ("language", "confidence")}).drop("_known")
