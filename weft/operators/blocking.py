@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.plans.runtime import Scratch
+
+#: Ids are long texts; pairs are made of 8-byte numbers in the order of the ids and named at the end.
 YEAR_WINDOW = 5
 TOP_K = 50
 BLOCK_CAP = 50
@@ -43,9 +46,35 @@ def within_years(window: int = YEAR_WINDOW) -> Column:
     return a.isNull() | c.isNull() | (F.abs(a - c) <= window)
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, n): distinct ids with numbers in their order, as a written table (numbers must stay)."""
+    distinct = ids.toDF("id").filter("id is not null").distinct().orderBy("id")
+    return Scratch(ids.sparkSession, "numbers").keep(distinct.withColumn("n", F.monotonically_increasing_id()))
+
+
+def with_numbers(df: DataFrame, column: str, numbers: DataFrame) -> DataFrame:
+    """The id column replaced by its number."""
+    return df.join(numbers.toDF(column, "_n"), column).drop(column).withColumnRenamed("_n", column)
+
+
+def with_names(df: DataFrame, columns: list[str], numbers: DataFrame) -> DataFrame:
+    """The number columns replaced by their ids; column order stays."""
+    out = df
+    for c in columns:
+        out = out.join(numbers.toDF("_id", c), c).drop(c).withColumnRenamed("_id", c)
+    return out.select(*df.columns)
+
+
 def author_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFrame:
     """Pairs of eligible (not truncated) author instances by id, by name key within years, and by name
     key and affiliation prefix."""
+    numbers = numbered(instances.select("author_instance_id"))
+    pairs = author_number_pairs(with_numbers(instances, "author_instance_id", numbers), year_window)
+    return with_names(pairs, ["anchor_id", "candidate_id"], numbers)
+
+
+def author_number_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFrame:
+    """``author_pairs`` of instances whose ids are numbers already."""
     e = instances.filter(~F.col("truncation_flag")).select(
         F.col("author_instance_id").alias("id"), "author_id", "name_key", "year_int",
         F.when((F.col("name_key") != "") & (F.col("record_affil_prefix") != ""), F.concat_ws("|", "name_key", "record_affil_prefix")).alias("name_affil"),
@@ -99,6 +128,15 @@ def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def author_candidates(instances: DataFrame, unique: DataFrame, columns: list[str], score, k: int = TOP_K, year_window: int = YEAR_WINDOW) -> DataFrame:
+    """The k best candidates of each anchor with rank and score; unique: one row per instance with
+    ``columns``, which ``score`` finds as a_* and c_*.  Ids are named only for what is kept."""
+    numbers = numbered(instances.select("author_instance_id"))
+    pairs = author_number_pairs(with_numbers(instances, "author_instance_id", numbers), year_window)
+    sides = with_sides(pairs, with_numbers(unique.select("author_instance_id", *columns), "author_instance_id", numbers), "author_instance_id", columns)
+    return with_names(top_k(sides.withColumn("score", score), k), ["anchor_id", "candidate_id"], numbers)
+
+
 def block_sizes(keys: DataFrame, n: int = 20) -> DataFrame:
     """(pass_id, block_key, size) of the n largest blocks per pass; keys: (pass_id, block_key)."""
     sizes = keys.filter(F.col("block_key").isNotNull()).groupBy("pass_id", "block_key").agg(F.count(F.lit(1)).alias("size"))
