@@ -14,13 +14,15 @@ folder.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.plans.runtime import Scratch
 
-RATE = 0.6
-LAST_START = 2
+RATE = 0.4
+LAST_START = 4
 #: A vertex with more edges is split into copies, so no task holds all edges of a hub.
 MAX_DEGREE = 500_000
 _LONGEST = 64
@@ -84,7 +86,7 @@ def components(pairs: DataFrame, left: str, right: str, links, max_degree: int =
         nodes.select(F.col("node_id").alias("b"), F.col("v").alias("w")), "b"
     )
     edges = scratch.keep(_both(half.select("v", "w")))
-    total = None
+    absorbed = []
     for level in range(_LONGEST):
         size = edges.count()
         if not size:
@@ -95,18 +97,21 @@ def components(pairs: DataFrame, left: str, right: str, links, max_degree: int =
         far = clusters.select(F.col("v").alias("w"), F.col("c").alias("d"))
         crossing = edges.filter("v < w").join(clusters, "v").join(far, "w").filter("c <> d")
         next_edges = scratch.keep(_both(crossing.select(F.least("c", "d").alias("v"), F.greatest("c", "d").alias("w")).distinct()))
-        if total is None:
-            composed = clusters
-        else:
-            step = clusters.select(F.col("v").alias("c"), F.col("c").alias("d"))
-            composed = scratch.keep(total.join(step, "c", "left").select("v", F.coalesce("d", "c").alias("c")))
-            scratch.drop(clusters, total)
+        absorbed.append(clusters.filter("v <> c"))
         scratch.drop(edges)
-        edges, total = next_edges, composed
+        edges = next_edges
     else:
         raise RuntimeError("the decomposition didn't end")
-    if total is None:
+    if not absorbed:
         return nodes.select(F.col("node_id").alias("group_id"), "node_id")
+    # a vertex is absorbed once at most, so the assignments of all levels are a forest as deep as there
+    # were levels; they are composed by doubling
+    total = absorbed[0]
+    for part in absorbed[1:]:
+        total = total.unionAll(part)
+    for _ in range(math.ceil(math.log2(len(absorbed))) if len(absorbed) > 1 else 0):
+        total = scratch.keep(total)
+        total = total.join(total.toDF("c", "further"), "c", "left").select("v", F.coalesce("further", "c").alias("c"))
     labelled = nodes.join(total, "v", "left").select("node_id", F.coalesce("c", "v").alias("c"))
     smallest = labelled.groupBy("c").agg(F.min("node_id").alias("group_id"))
     return labelled.join(smallest, "c").select("group_id", "node_id")
