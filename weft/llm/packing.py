@@ -106,7 +106,7 @@ def pack(sized: DataFrame, key: str, size: str, capacity: int, lane_tokens: int
         [T.StructField("key", kind), *(T.StructField(c, T.IntegerType()) for c in ("part", "start", "length")), T.StructField("container", T.StringType()), T.StructField("offset", T.IntegerType())]
     )
 
-    def lane(number, pdf: pd.DataFrame) -> pd.DataFrame:
+    def lane(number: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "key"])
         out = pack_items(pdf["key"].tolist(), pdf["size"].tolist(), capacity)
         out["container"] = str(number[0]) + "-" + out["container"].astype(str)
