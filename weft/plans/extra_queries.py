@@ -151,7 +151,7 @@ def affiliation_packets(spark, sf_dir):
     r = table(spark, sf_dir, "records_normalised")
     m = affiliation_mentions(r).dropDuplicates(["affil_instance_id"])
     cards = evidence.affiliation_cards(m, r)
-    packets = evidence.affiliation_packets(evidence.pair_cards(affiliation_pairs(m, cap=5), cards, "affil_instance_id", "AIN"))
+    packets = evidence.affiliation_packets(evidence.pair_cards(affiliation_pairs(m), cards, "affil_instance_id", "AIN"))
     s = labelling.ain_signals(packets)
     return s.select(
         "anchor_id", "candidate_id", "anchor_affil_norm", "candidate_affil_norm", "anchor_affil_acronyms", F.round("affil_str_sim", 4).alias("affil_str_sim"),
