@@ -48,8 +48,9 @@ ORGANISATION_WORDS = {
 _FOLD = {c: g[0] for g in GROUPS for c in g if script_of(g[0]) == "latin"}
 PERSON_EDGE, PERSON_LINK = 0.5, 0.5
 ORG_EDGE, ORG_LINK = 0.66, 0.60
-#: A spelling with more mentions than this isn't taken for a typing error.
-RARE = 2
+#: Without given names, and for two errors, a spelling is taken for a typing error if it has at most so many
+#: mentions, or at most this share of the other spelling's.
+RARE, RARE_SHARE = 2, 1 / 3
 #: Families that must show a pair of given names under one id before the pair counts as name and short name.
 MINED_SUPPORT = 2
 
@@ -177,18 +178,23 @@ class Vectors:
             self.cache[text] = vector = {g: w / norm for g, w in vector.items()}
         return vector
 
-    def alike(self, a: str, b: str, count_a: int, count_b: int) -> float:
+    def alike(self, a: str, b: str, count_a: int, count_b: int, backed: bool = False) -> float:
         """The cosine, checked: two spellings differ by one typing error, or two in a long word, and one
-        of them is rare (a spelling found often is no error).  A single error counts 0.85 at least."""
+        of them is rare, by itself or beside the other.  A single error counts 0.85 at least, and if it is
+        ``backed`` by other evidence the counts don't matter."""
         if a == b:
             return 1.0
         if unglued(a) == b or unglued(b) == a:
             return 0.95
         shorter = min(len(a), len(b))
-        if shorter < 4 or min(count_a, count_b) > RARE or not near(a, b, 2 if shorter >= 10 else 1):
+        rare = min(count_a, count_b) <= max(RARE, RARE_SHARE * max(count_a, count_b))
+        if shorter < 4 or not (rare or backed) or not near(a, b, 2 if shorter >= 10 else 1):
+            return 0.0
+        single = shorter < 10 or near(a, b)
+        if not (rare or single):
             return 0.0
         score = self.cosine(a, b)
-        return max(score, 0.85) if shorter < 10 or near(a, b) else score
+        return max(score, 0.85) if single else score
 
     def cosine(self, a: str, b: str) -> float:
         if a == b:
@@ -304,13 +310,13 @@ def _person_features(initials: dict[str, set[str]]):
     return run
 
 
-def _parts_alike(vectors: Vectors, a: str, b: str, na: int, nb: int) -> float:
+def _parts_alike(vectors: Vectors, a: str, b: str, na: int, nb: int, backed: bool = False) -> float:
     """Of whole family names; a part of a double name stands for it, at a discount."""
-    score = vectors.alike(a, b, na, nb)
+    score = vectors.alike(a, b, na, nb, backed)
     x, y = re.split(r"[-\s]", a), re.split(r"[-\s]", b)
     if len(x) != len(y) and min(len(x), len(y)) == 1:
         short, long = (a, y) if len(x) == 1 else (b, x)
-        score = max(score, 0.9 * max(vectors.alike(short, p, na, nb) for p in long if p))
+        score = max(score, 0.9 * max(vectors.alike(short, p, na, nb, backed) for p in long if p))
     return score
 
 
@@ -322,7 +328,7 @@ def _person_scorer(vectors: Vectors, initials: dict[str, set[str]], edge: float)
                 (fa, *ga), (fb, *gb) = a.split("\x1f"), b.split("\x1f")
                 agreement = given_agreement(ga, gb, initials)
                 if agreement >= edge:
-                    score = agreement * _parts_alike(vectors, fa, fb, na, nb)
+                    score = agreement * _parts_alike(vectors, fa, fb, na, nb, bool(ga and gb))
                     if score >= edge:
                         out.append((a, b, score))
             yield pd.DataFrame(out, columns=["a", "b", "s"])
@@ -333,10 +339,10 @@ def _person_scorer(vectors: Vectors, initials: dict[str, set[str]], edge: float)
 def _worth_scoring():
     """False only for pairs whose family names ``_parts_alike`` gives 0: cheap bounds in the JVM."""
     a, b = F.split("a", "\x1f")[0], F.split("b", "\x1f")[0]
-    rare = F.least("na", "nb") <= RARE
-    most = F.when(F.least(F.length(a), F.length(b)) >= 10, 4).otherwise(2)  # two swaps are four edits
+    rare = F.least("na", "nb") <= F.greatest(F.lit(RARE), RARE_SHARE * F.greatest("na", "nb"))
+    most = F.when(rare & (F.least(F.length(a), F.length(b)) >= 10), 4).otherwise(2)  # a swap is two edits
     double = a.rlike(r"[-\s]") != b.rlike(r"[-\s]")
-    return (a == b) | a.contains(b) | b.contains(a) | (rare & (double | (F.levenshtein(a, b) <= most)))
+    return (a == b) | a.contains(b) | b.contains(a) | double | (F.levenshtein(a, b) <= most)
 
 
 def _meet(features: DataFrame) -> DataFrame:
