@@ -3,8 +3,8 @@
 Strings are folded (compatibility form, look-alikes, accents, transliterated Cyrillic), parsed, and
 turned into character n-gram vectors weighted by inverse document frequency.  A sparse similarity join
 finds pairs of distinct forms: it joins on selective n-grams only (the whole string, its parts, and the
-grams anchored at either half, of which any single typing error leaves one intact) and computes the
-cosine of the full vectors for what meets.  Pairs above the edge threshold are grouped by
+grams anchored at either half, of which any single typing error leaves one intact).  Edit distance
+decides for what meets, the cosine of the full vectors only for two errors.  Pairs above the edge threshold are grouped by
 average-linkage clustering.  Equal forms are one node, so copies are never paired before the end.
 """
 
@@ -179,9 +179,10 @@ class Vectors:
         return vector
 
     def alike(self, a: str, b: str, count_a: int, count_b: int, backed: bool = False) -> float:
-        """The cosine, checked: two spellings differ by one typing error, or two in a long word, and one
-        of them is rare, by itself or beside the other.  A single error counts 0.85 at least, and if it is
-        ``backed`` by other evidence the counts don't matter."""
+        """0 unless two spellings differ by one typing error, or two in a long word, and one of them is
+        rare, by itself or beside the other.  Edit distance decides, not the cosine (figures in README): a
+        single error counts 0.85 at least, and if it is ``backed`` by other evidence the counts don't
+        matter; two errors count as their cosine."""
         if a == b:
             return 1.0
         if unglued(a) == b or unglued(b) == a:
