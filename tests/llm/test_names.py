@@ -37,13 +37,26 @@ def test_near():
             assert names.near(a, b, most) == slow_near(a, b, most)
 
 
-def test_anchored_survive_one_error():
+def test_edge_grams_survive_one_error():
     rng = random.Random(9)
+    vectors = names.Vectors({}, 1000)
     for _ in range(2000):
         a = "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(6, 14)))
         i = rng.randrange(len(a) - 1)
         for b in (a[:i] + a[i + 1 :], a[:i] + "z" + a[i + 1 :], a[:i] + "z" + a[i:], a[:i] + a[i + 1] + a[i] + a[i + 2 :]):
-            assert set(names.anchored(a)) & set(names.anchored(b)), (a, b)
+            assert set(names.edge_grams(a)) & set(names.edge_grams(b)), (a, b)
+
+
+def test_no_pair_above_the_cosine_without_common_edge_gram():
+    """The prefix filter of the sparse join is exact: also anagrams stay below."""
+    rng = random.Random(10)
+    vectors = names.Vectors({"a": 500, "ab": 100}, 1000)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        b = "".join(rng.sample(a, len(a))) if rng.random() < 0.5 else "".join(rng.choice("abc") for _ in range(rng.randrange(1, 12)))
+        if not set(names.edge_grams(a)) & set(names.edge_grams(b)):
+            assert vectors.cosine(a, b) < names.NAME_COSINE
+        assert abs(sum(w * w for w in vectors.of(a).values()) - 1) < 1e-9
 
 
 def brute_linkage(edges, weights, threshold):
@@ -63,8 +76,8 @@ def brute_linkage(edges, weights, threshold):
         clusters[i] |= clusters.pop(j)
 
 
-@pytest.mark.parametrize("most", [1, 5])
-def test_average_linkage_against_brute_force(spark, most):
+@pytest.mark.parametrize("most, local", [(1, 0), (5, 0), (1, 60), (5, 1000)])
+def test_average_linkage_against_brute_force(spark, most, local):
     rng = random.Random(11)
     pairs = {}
     for _ in range(160):
@@ -74,13 +87,18 @@ def test_average_linkage_against_brute_force(spark, most):
     weights = {f"{i:02}": rng.randint(1, most) for i in range(60)}
     w = spark.createDataFrame(list(weights.items()), "node string, n long")
     got = {}
-    for r in linkage.average_linkage(spark.createDataFrame(edges, "a string, b string, s double"), w, 0.45).collect():
+    for r in linkage.average_linkage(spark.createDataFrame(edges, "a string, b string, s double"), w, 0.45, local).collect():
         got.setdefault(r.cluster, []).append(r.node)
     assert sorted(map(sorted, got.values())) == brute_linkage(edges, weights, 0.45)
     assert all(k == min(v) for k, v in got.items())
     assert linkage.average_linkage(spark.createDataFrame([], "a string, b string, s double"), w, 0.5).count() == 0
 
 
+def test_hash_is_sparks(spark):
+    row = spark.sql("SELECT xxhash64('Aé', 'bcdefghijklmnopqrstuvwxyz0123456789ABC')").first()
+    assert linkage._hash("Aé", "bcdefghijklmnopqrstuvwxyz0123456789ABC") == row[0]
+
+
 PEOPLE = {
     "p1": ["Hidorgakan, Suvel", "Suvel Hidorgakan", "Hidorgakan, S.", "HIDORGAKAN, Suvel", "Hidorgakan, Suvle", "Hidorgaakn, Suvel", "Hídorgakan, Suvel", "Hіdоrgakan, Suvel", "Hidorgakan Suvel"],
     "p2": ["Mopelgeufor, Banbo", "Mopelgeufor, Bani", "Mopelgeufor, B."],

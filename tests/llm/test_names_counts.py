@@ -18,7 +18,11 @@ def test_mentions_dont_cut(spark, times):
     assert sorted(map(sorted, found.values())) == [["Toerlopis, B.", "Torlopis, Bena"], ["Voffisku, Betis N.", "Vofisku, Betis Norse"], ["Vofisku, Zanlu"]]
 
 
-def test_rare_beside_the_other():
+def test_cosine_and_exact_check():
     v = names.Vectors({}, 10)
-    assert v.alike("informatiks", "niformatiks", 3, 39) > 0.8 and v.alike("panhafina", "panzafina", 10, 16) == 0.0
-    assert v.alike("panhafina", "panzafina", 10, 16, backed=True) > 0.8
+    assert v.alike("informatiks", "niformatiks") > 0.5 and v.alike("panhafina", "panzafina") > 0.5
+    assert v.alike("soran", "sarun") == 0.0 and v.alike("deurishobor", "deurisfodor") == 0.0 and v.alike("abc", "abd") == 0.0
+
+
+def test_misspelt():
+    assert names._misspelt(1, 1) and names._misspelt(13, 39) and not names._misspelt(10, 16) and not names._misspelt(100, 160)

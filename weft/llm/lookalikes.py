@@ -68,6 +68,8 @@ def ignorable(char: str) -> bool:
 
 def visible(text: str) -> str:
     """Without ignorable characters, NFKC, white space as U+0020."""
+    if text.isascii() and text.isprintable():
+        return text
     kept = "".join(c for c in text if not ignorable(c))
     return "".join(" " if c.isspace() else c for c in unicodedata.normalize("NFKC", kept))
 

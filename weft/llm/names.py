@@ -1,11 +1,15 @@
 """Linking the spellings of people and of organisations.
 
 Strings are folded (compatibility form, look-alikes, accents, transliterated Cyrillic), parsed, and
-turned into character n-gram vectors weighted by inverse document frequency.  A sparse similarity join
-finds pairs of distinct forms: it joins on selective n-grams only (the whole string, its parts, and the
-grams anchored at either half, of which any single typing error leaves one intact).  Edit distance
-decides for what meets, the cosine of the full vectors only for two errors.  Pairs above the edge threshold are grouped by
-average-linkage clustering.  Equal forms are one node, so copies are never paired before the end.
+turned into weighted character n-gram vectors of two blocks: edge grams, the beginnings and ends of
+about half the string's length, hold EDGE_SHARE of the squared length, and grams of one and two
+letters, weighted by the root of their inverse document frequency, hold the rest.  A sparse join finds the
+pairs of distinct strings with a cosine of at least NAME_COSINE.  As this is above 1 - EDGE_SHARE, such
+a pair has an edge gram in common, so the join's prefix filter consists of the edge grams alone and
+loses no pair.  There is no cap on partners: n is however many are above the threshold.
+
+An exact check follows (edit distance, given names), then average-linkage clustering of what is left.
+Equal forms are one node, so copies are never paired before the end.
 """
 
 from __future__ import annotations
@@ -45,12 +49,19 @@ ORGANISATION_WORDS = {
     for w in words.split()
 }
 
+#: The words that say nothing, as typed with errors they still do.
+_SMALL = [w for w, k in ORGANISATION_WORDS.items() if not k and len(w) <= 4]
 _FOLD = {c: g[0] for g in GROUPS for c in g if script_of(g[0]) == "latin"}
-PERSON_EDGE, PERSON_LINK = 0.5, 0.5
-ORG_EDGE, ORG_LINK = 0.66, 0.60
-#: Without given names, and for two errors, a spelling is taken for a typing error if it has at most so many
-#: mentions, or at most this share of the other spelling's.
-RARE, RARE_SHARE = 2, 1 / 3
+#: Share of the edge grams in a vector's squared length, and the least cosine of two spellings of a name.
+EDGE_SHARE, NAME_COSINE = 0.6, 0.42
+#: Least mean similarity at which two clusters merge.
+PERSON_LINK, ORG_LINK = 0.44, 0.5
+#: Similarity of a double name's part to the whole, and of a name to itself behind a particle.
+PART, UNGLUED = 0.9, 0.95
+#: Least agreement of given names.
+AGREEMENT = 0.5
+#: A word of organisations in at most this share of another's spellings, or in one only, may be its misspelling.
+RARE_SHARE = 1 / 3
 #: Families that must show a pair of given names under one id before the pair counts as name and short name.
 MINED_SUPPORT = 2
 
@@ -58,19 +69,28 @@ MINED_SUPPORT = 2
 # ---------------------------------------------------------------- strings
 
 
+_FOLDED: dict[str, str] = {}
+
+
+def _fold_token(token: str) -> str:
+    if token in _FOLDED:
+        return _FOLDED[token]
+    if len(_FOLDED) > 50_000:
+        _FOLDED.clear()
+    whole, scripts = token, {script_of(c) for c in token} - {""}
+    if scripts == {"cyrillic"}:
+        token = "".join(CYRILLIC.get(c, c) for c in token)
+    elif scripts != {"latin"}:
+        token = "".join(_FOLD.get(c, c) for c in token)
+    token = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
+    _FOLDED[whole] = "".join(PLAIN.get(c, c) for c in token)
+    return _FOLDED[whole]
+
+
 def fold(text: str | None) -> str:
     """Lower-case Latin without accents: look-alikes in mixed tokens become Latin, wholly Cyrillic
     tokens are transliterated."""
-    out = []
-    for token in visible(text or "").lower().split():
-        scripts = {script_of(c) for c in token} - {""}
-        if scripts == {"cyrillic"}:
-            token = "".join(CYRILLIC.get(c, c) for c in token)
-        elif scripts != {"latin"}:
-            token = "".join(_FOLD.get(c, c) for c in token)
-        token = "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
-        out.append("".join(PLAIN.get(c, c) for c in token))
-    return " ".join(out)
+    return " ".join(t if t.isascii() else _fold_token(t) for t in visible(text or "").lower().split())
 
 
 def _core(family: list[str]) -> str:
@@ -80,10 +100,8 @@ def _core(family: list[str]) -> str:
     return " ".join(kept or family)
 
 
-def unglued(family: str) -> str | None:
-    """What follows a particle written together with the name, if at least four letters do."""
-    starts = [p for p in PARTICLES if family.startswith(p) and len(family) >= len(p) + 4]
-    return family[len(max(starts, key=len)) :] if starts else None
+#: A particle written together with the name, before at least four letters.
+_GLUED = "^(?:" + "|".join(sorted(PARTICLES, key=lambda x: (-len(x), x))) + ")(?=.{4})"
 
 
 def parse_person(raw: str):
@@ -105,19 +123,25 @@ def parse_person(raw: str):
 
 
 def near(a: str, b: str, most: int = 1) -> bool:
-    """Damerau-Levenshtein distance (adjacent swaps count once) of at most ``most``."""
+    """Damerau-Levenshtein distance (adjacent swaps count once) of at most ``most``; only the diagonal
+    band that such a distance can reach is looked at, so long strings cost their length."""
     if abs(len(a) - len(b)) > most:
         return False
-    before, row = None, list(range(len(b) + 1))
+    far = most + 1
+    older, row = {}, {j: j for j in range(min(len(b), most) + 1)}
     for i, x in enumerate(a, 1):
-        last, row, older = row, [i], before
-        for j, y in enumerate(b, 1):
-            d = min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y))
-            if older is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, older[j - 2] + 1)
-            row.append(d)
-        before = last
-    return row[-1] <= most
+        last, row = row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            d = last.get(j, far) + 1
+            if j:
+                d = min(d, row.get(j - 1, far) + 1, last.get(j - 1, far) + (x != b[j - 1]))
+                if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d = min(d, older.get(j - 2, far) + 1)
+            row[j] = d
+        if min(row.values()) > most:
+            return False
+        older = last
+    return row.get(len(b), far) <= most
 
 
 def short_name(short: str, full: str) -> bool:
@@ -128,17 +152,17 @@ def short_name(short: str, full: str) -> bool:
     return len(stem) >= 2 and stem != short and full.startswith(stem) and len(full) >= len(stem) + 2
 
 
-def given_agreement(a: list[str], b: list[str], initials: dict[str, set[str]]) -> float:
+def given_agreement(a: list[str], b: list[str], starts_a: str, starts_b: str) -> float:
     """0 (different people) to 1 (same given names).
 
-    The first name of a list is canonical; initials: a name's own and those of its short names."""
+    The first name of a list is canonical; starts: the initials of it and of its short names."""
     if not a or not b:
         return 0.6
     x, y = a[0], b[0]
     if x == y:
         score = 1.0
     elif len(x) == 1 or len(y) == 1:
-        score = 0.9 if initials.get(x, {x[0]}) & initials.get(y, {y[0]}) else 0.0
+        score = 0.9 if set(starts_a) & set(starts_b) else 0.0
     elif min(len(x), len(y)) >= 3 and near(x, y) and (min(len(x), len(y)) >= 4 or x[0] == y[0]):
         score = 0.95
     elif short_name(x, y) or short_name(y, x):
@@ -147,25 +171,37 @@ def given_agreement(a: list[str], b: list[str], initials: dict[str, set[str]]) -
         score = 0.0
     if len(a) > 1 and len(b) > 1 and score:
         m, n = a[1], b[1]
-        if not initials.get(m, {m[0]}) & initials.get(n, {n[0]}):
+        if m[0] != n[0]:
             return 0.0
         if len(m) > 1 and len(n) > 1 and m != n and not near(m, n) and not short_name(m, n) and not short_name(n, m):
             return 0.5 * score
     return score
 
 
+def edge_sizes(n: int) -> range:
+    """Lengths of the edge grams of a string of n letters: about half of it, and the same for n and n + 1
+    if n is odd, so that one error leaves some in common."""
+    half = n // 2
+    return range(max(half - 1 + n % 2, 1 if n < 5 else 2), min(half + 1, n) + 1)
+
+
+def edge_grams(text: str) -> list[str]:
+    return [g for k in edge_sizes(len(text)) for g in (f"<{text[:k]}", f">{text[-k:]}")]
+
+
 def grams(text: str) -> list[str]:
-    """Character n-grams, n from 1 to 3, with marked ends."""
+    """Character n-grams, n of 1 and 2, the latter with marked ends."""
     marked = f"^{text}$"
-    return [*text, *(marked[i : i + 2] for i in range(len(marked) - 1)), *(marked[i : i + 3] for i in range(len(marked) - 2))]
+    return [*text, *(marked[i : i + 2] for i in range(len(marked) - 1))]
 
 
 class Vectors:
-    """Unit n-gram vectors weighted by inverse document frequency, and their cosines."""
+    """Unit vectors of edge grams (equal weights) and grams (weighted by the root of their inverse document
+    frequency), and their cosines."""
 
     def __init__(self, counts: dict[str, int], total: int):
-        self.weights = {g: 1.0 + math.log((1 + total) / (1 + n)) for g, n in counts.items()}
-        self.default = 1.0 + math.log(1 + total)
+        self.weights = {g: math.sqrt(1.0 + math.log((1 + total) / (1 + n))) for g, n in counts.items()}
+        self.default = math.sqrt(1.0 + math.log(1 + total))
         self.cache: dict[str, dict[str, float]] = {}
 
     def of(self, text: str) -> dict[str, float]:
@@ -173,30 +209,14 @@ class Vectors:
         if vector is None:
             if len(self.cache) > 50_000:
                 self.cache.clear()
-            vector = {g: (1 + math.log(n)) * self.weights.get(g, self.default) for g, n in Counter(grams(text)).items()}
-            norm = math.sqrt(sum(w * w for w in vector.values())) or 1.0
-            self.cache[text] = vector = {g: w / norm for g, w in vector.items()}
+            inner = {g: (1 + math.log(n)) * self.weights.get(g, self.default) for g, n in Counter(grams(text)).items()}
+            scale = math.sqrt((1 - EDGE_SHARE) / sum(w * w for w in inner.values()))
+            vector = {g: w * scale for g, w in inner.items()}
+            edges = edge_grams(text)
+            vector |= dict.fromkeys(edges, math.sqrt(EDGE_SHARE / max(1, len(edges))))
+            self.cache[text] = vector
         return vector
 
-    def alike(self, a: str, b: str, count_a: int, count_b: int, backed: bool = False) -> float:
-        """0 unless two spellings differ by one typing error, or two in a long word, and one of them is
-        rare, by itself or beside the other.  Edit distance decides, not the cosine (figures in README): a
-        single error counts 0.85 at least, and if it is ``backed`` by other evidence the counts don't
-        matter; two errors count as their cosine."""
-        if a == b:
-            return 1.0
-        if unglued(a) == b or unglued(b) == a:
-            return 0.95
-        shorter = min(len(a), len(b))
-        rare = min(count_a, count_b) <= max(RARE, RARE_SHARE * max(count_a, count_b))
-        if shorter < 4 or not (rare or backed) or not near(a, b, 2 if shorter >= 10 else 1):
-            return 0.0
-        single = shorter < 10 or near(a, b)
-        if not (rare or single):
-            return 0.0
-        score = self.cosine(a, b)
-        return max(score, 0.85) if single else score
-
     def cosine(self, a: str, b: str) -> float:
         if a == b:
             return 1.0
@@ -205,26 +225,27 @@ class Vectors:
             x, y = y, x
         return sum(w * y[g] for g, w in x.items() if g in y)
 
+    def alike(self, a: str, b: str) -> float:
+        """The angular similarity, 1 less the angle's share of a half turn, of strings whose cosine is at least
+        NAME_COSINE, if the exact check finds one typing error at most; else 0.  Under four letters strings must
+        be equal."""
+        if a == b:
+            return 1.0
+        if min(len(a), len(b)) < 4:
+            return 0.0
+        cosine = self.cosine(a, b)
+        return 1 - math.acos(min(1.0, cosine)) / math.pi if cosine >= NAME_COSINE and near(a, b) else 0.0
+
 
 def gram_vectors(strings: DataFrame) -> Vectors:
-    """From a one-column table of distinct strings.  The counts are collected: their number is bounded by
-    the cubed alphabet of folded letters."""
+    """From a one-column table of distinct strings.  The counts collected are those of grams of a to z, space,
+    hyphen and apostrophe, under 1,000; other grams count as unseen."""
     column = strings.columns[0]
     text = F.concat(F.lit("^"), F.col(column), F.lit("$"))
     n = F.length(column)
-    one = F.split(column, "")
     two = F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(text, i, F.lit(2)))
-    three = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
-    found = strings.filter(n > 0).select(F.explode(F.array_distinct(F.concat(one, two, three))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return Vectors({r.g: r.n for r in found.collect()}, strings.count())
-
-
-def anchored(text: str) -> list[str]:
-    """Grams anchored at either end that a single typing error can't all destroy: half the length of a
-    text of odd length; for an even one also one letter less, for errors across its middle."""
-    half = len(text) // 2
-    sizes = {h for h in ((half,) if len(text) % 2 else (half - 1, half)) if h >= 2}
-    return [f"<{text[:h]}" for h in sizes] + [f">{text[-h:]}" for h in sizes]
+    found = strings.filter(n > 0).select(F.explode(F.array_distinct(F.concat(F.split(column, ""), two))).alias("g")).filter(F.col("g").rlike(r"^[a-z '^$-]{1,2}$"))
+    return Vectors({r.g: r.n for r in found.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}, strings.count())
 
 
 # ---------------------------------------------------------------- people
@@ -284,84 +305,83 @@ def mined_aliases(mentions: DataFrame, support: int = MINED_SUPPORT) -> DataFram
     return sized.select(F.when(swap, F.col("other")).otherwise(F.col("first")).alias("alias"), F.when(swap, F.col("first")).otherwise(F.col("other")).alias("name"))
 
 
-def _initials(known: list[tuple[str, str]]) -> dict[str, set[str]]:
-    found: dict[str, set[str]] = {}
-    for short, full in known:
-        for name in (short, full):
-            found.setdefault(name, {name[0]}).update({short[0], full[0]})
-    return found
-
-
-def _person_features(initials: dict[str, set[str]]):
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for form in pdf["form"]:
-                family, *given = form.split("\x1f")
-                found = set()
-                first = given[0] if given else ""
-                starts = initials.get(first, {first[:1]})
-                for part in {family, *(p for p in re.split(r"[-\s]", family) if len(p) > 2)}:
-                    whole = {part, unglued(part) or part}
-                    found.update(f"={w}|{c}" for w in whole for c in {*starts, first[1:2] if len(first) > 2 else first[:1]})
-                    found.update(f"{g}|{c}" for g in anchored(part) for c in starts)
-                rows.append(list(found))
-            yield pd.DataFrame({"form": pdf["form"], "n": pdf["n"], "feature": rows})
-
-    return run
-
-
-def _parts_alike(vectors: Vectors, a: str, b: str, na: int, nb: int, backed: bool = False) -> float:
-    """Of whole family names; a part of a double name stands for it, at a discount."""
-    score = vectors.alike(a, b, na, nb, backed)
-    x, y = re.split(r"[-\s]", a), re.split(r"[-\s]", b)
-    if len(x) != len(y) and min(len(x), len(y)) == 1:
-        short, long = (a, y) if len(x) == 1 else (b, x)
-        score = max(score, 0.9 * max(vectors.alike(short, p, na, nb, backed) for p in long if p))
-    return score
-
-
-def _person_scorer(vectors: Vectors, initials: dict[str, set[str]], edge: float):
+#: What a posting's part is of the family name: the whole, one of several words, what follows a particle.
+_WHOLE, _DOUBLE, _WORD, _REST = 0, 1, 2, 3
+
+
+def _postings(forms: DataFrame) -> DataFrame:
+    """(feature, form, starts, part, kind) of the sparse join; a feature has a gram and a given initial.
+
+    The whole family name and each word of a double one have their edge grams; "=" and the string itself
+    also meet under the given name's second letter (its first may be dropped), and what follows a particle
+    only meets as a whole."""
+    family = F.split("form", "\x1f")[0]
+    first = F.coalesce(F.try_element_at(F.split("form", "\x1f"), F.lit(2)), F.lit(""))
+    pieces = F.split(family, r"[-\s]")
+    rest = F.regexp_replace(family, _GLUED, "")
+    entry = lambda part, kind: F.struct(part.alias("part"), F.lit(kind).alias("kind"))
+    entries = F.concat(
+        F.array(F.when(F.size(pieces) > 1, entry(family, _DOUBLE)).otherwise(entry(family, _WHOLE))),
+        F.when(F.size(pieces) > 1, F.transform(F.array_distinct(F.filter(pieces, lambda p: F.length(p) > 2)), lambda p: entry(p, _WORD))).otherwise(F.array().cast("array<struct<part:string,kind:int>>")),
+        F.when(rest != family, F.array(entry(rest, _REST))).otherwise(F.array().cast("array<struct<part:string,kind:int>>")),
+    )
+    # a name without given names has one empty initial, under which such names meet
+    initials = F.when(F.col("starts") == "", F.array(F.lit(""))).otherwise(F.split("starts", ""))
+    wider = F.array_distinct(F.concat(initials, F.when(F.length(first) > 2, F.array(F.substring(first, 2, 1))).otherwise(F.array().cast("array<string>"))))
+    rows = forms.select("form", "starts", initials.alias("initials"), wider.alias("wider"), F.explode(entries).alias("e")).select("form", "starts", "initials", "wider", "e.*")
+    n = F.length("part")
+    half = F.floor(n / 2).cast("int")
+    low = F.greatest(half - 1 + n % 2, F.when(n < 5, 1).otherwise(2))
+    sizes = F.when(n > 0, F.sequence(low, F.greatest(low, F.least(half + 1, n))))
+    edges = F.flatten(F.transform(sizes, lambda k: F.array(F.concat(F.lit("<"), F.substring("part", F.lit(1), k)), F.concat(F.lit(">"), F.substring("part", n - k + 1, k)))))
+    tagged = lambda grams, tags: F.flatten(F.transform(grams, lambda g: F.transform(tags, lambda t: F.concat(g, F.lit("|"), t))))
+    features = F.concat(
+        tagged(F.array(F.concat(F.lit("="), "part")), F.col("wider")),
+        F.when(F.col("kind") != _REST, F.coalesce(tagged(edges, F.col("initials")), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")),
+    )
+    return rows.select(F.explode(F.array_distinct(features)).alias("feature"), "form", "starts", "part", "kind")
+
+
+def _meet(postings: DataFrame) -> DataFrame:
+    """Distinct (a, b, sa, sb, pa, pb, factor), a < b, of forms with parts that share a feature.
+
+    Left out already here: what the exact check after the cosine would reject by string length and
+    Levenshtein distance (a swap is two edits), which the JVM finds faster than the cosine."""
+    sides = [postings.select("feature", F.col("form").alias(x), F.col("starts").alias(f"s{x}"), F.col("part").alias(f"p{x}"), F.col("kind").alias(f"k{x}")) for x in "ab"]
+    pa, pb, ka, kb = F.col("pa"), F.col("pb"), F.col("ka"), F.col("kb")
+    same = pa == pb
+    close = (F.least(F.length(pa), F.length(pb)) >= 4) & (F.abs(F.length(pa) - F.length(pb)) <= 1) & (F.levenshtein(pa, pb) <= 2)
+    whole = (ka <= _DOUBLE) & (kb <= _DOUBLE)
+    word = ((ka == _WORD) & (kb == _WHOLE)) | ((ka == _WHOLE) & (kb == _WORD))
+    rest = same & (((ka == _REST) & (kb <= _DOUBLE)) | ((ka <= _DOUBLE) & (kb == _REST)))
+    exact = F.substring("feature", 1, 1) == "="
+    kinds = whole | word | rest
+    pairs = sides[0].join(sides[1], "feature").filter((F.col("a") < F.col("b")) & kinds & (same == exact) & (same | close))
+    factor = F.when(whole, 1.0).when(word, PART).otherwise(UNGLUED)
+    return pairs.select("a", "b", "sa", "sb", "pa", "pb", factor.alias("factor")).distinct()
+
+
+def _person_scorer(vectors: Vectors):
     def run(frames):
         for pdf in frames:
             out = []
-            for a, b, na, nb in zip(pdf["a"], pdf["b"], pdf["na"], pdf["nb"]):
-                (fa, *ga), (fb, *gb) = a.split("\x1f"), b.split("\x1f")
-                agreement = given_agreement(ga, gb, initials)
-                if agreement >= edge:
-                    score = agreement * _parts_alike(vectors, fa, fb, na, nb, bool(ga and gb))
-                    if score >= edge:
-                        out.append((a, b, score))
+            for a, b, sa, sb, pa, pb, factor in pdf.itertuples(index=False):
+                agreement = given_agreement(a.split("\x1f")[1:], b.split("\x1f")[1:], sa, sb)
+                if agreement >= AGREEMENT:
+                    alike = vectors.alike(pa, pb)
+                    if alike:
+                        out.append((a, b, agreement * factor * alike))
             yield pd.DataFrame(out, columns=["a", "b", "s"])
 
     return run
 
 
-def _worth_scoring():
-    """False only for pairs whose family names ``_parts_alike`` gives 0: cheap bounds in the JVM."""
-    a, b = F.split("a", "\x1f")[0], F.split("b", "\x1f")[0]
-    rare = F.least("na", "nb") <= F.greatest(F.lit(RARE), RARE_SHARE * F.greatest("na", "nb"))
-    most = F.when(rare & (F.least(F.length(a), F.length(b)) >= 10), 4).otherwise(2)  # a swap is two edits
-    double = a.rlike(r"[-\s]") != b.rlike(r"[-\s]")
-    return (a == b) | a.contains(b) | b.contains(a) | double | (F.levenshtein(a, b) <= most)
-
-
-def _meet(features: DataFrame) -> DataFrame:
-    """(a, b, na, nb), a < b, of forms that share a feature; a pair may come several times."""
-    left = features.select(F.col("form").alias("a"), F.col("n").alias("na"), "feature")
-    right = features.select(F.col("form").alias("b"), F.col("n").alias("nb"), "feature")
-    return left.join(right, "feature").filter("a < b").select("a", "b", "na", "nb")
-
-
-def link_people(
-    mentions: DataFrame, key: str, raw: str, person_id: str, aliases: DataFrame, alias: str, given: str, edge: float = PERSON_EDGE, link: float = PERSON_LINK
-) -> DataFrame:
+def link_people(mentions: DataFrame, key: str, raw: str, person_id: str, aliases: DataFrame, alias: str, given: str, link: float = PERSON_LINK) -> DataFrame:
     """(key, cluster) of every distinct key: mentions of one cluster are held to be one person.
 
-    ``person_id`` may be missing or wrong: it only serves to find short given names beyond ``aliases``
-    (which are taken to be few: their number doesn't grow with the mentions).  A null key is left out; a
-    null or empty name is a cluster of its own.  Repeated keys count once, by their smallest name.  Empty
-    tables give no rows; extra columns are ignored.
+    ``person_id`` may be missing or wrong: it only serves to find short given names beyond ``aliases``.  A
+    null key is left out; a null or empty name is a cluster of its own.  Repeated keys count once, by their
+    smallest name.  Empty tables give no rows; extra columns are ignored.
     """
     scratch = Scratch(mentions.sparkSession, "people")
     rows = mentions.select(F.col(key).cast("string").alias("key"), F.col(raw).alias("raw"), F.coalesce(F.col(person_id), F.lit("")).alias("id"))
@@ -371,19 +391,17 @@ def link_people(
     told = aliases.select(F.lower(alias).alias("alias"), F.lower(given).alias("name")).filter("alias <> '' and name <> ''")
     mined = mined_aliases(names.join(rows.select("raw", "id"), "raw").select("family", first.alias("first"), "id"))
     known = scratch.keep(told.unionByName(mined.join(told, "alias", "left_anti").join(told.select(F.col("name").alias("alias")), "alias", "left_anti")).groupBy("alias").agg(F.min("name").alias("name")))
-    initials = _initials([(r.alias, r.name) for r in known.collect()])
+    short = known.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set(F.substring("alias", 1, 1))), "").alias("others"))  # at most an alphabet
     joined = names.withColumn("alias", first).join(known, "alias", "left")
     canonical = F.concat(F.array(F.coalesce("name", "alias")), F.slice("given", 2, F.greatest(F.size("given") - 1, F.lit(0))))
     form = F.array_join(F.concat(F.array("family"), F.when(F.size("given") > 0, canonical).otherwise(F.array().cast("array<string>"))), "\x1f")
-    formed = scratch.keep(joined.select("raw", "family", form.alias("form")))
-    often = rows.join(formed, "raw").groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-    forms = scratch.keep(formed.select("family", "form").distinct().join(often, "family"))
-    vectors = gram_vectors(often.select("family"))
-    featured = forms.select("form", "n").mapInPandas(_person_features(initials), "form string, n bigint, feature array<string>")
-    features = scratch.keep(featured.select("form", "n", F.explode("feature").alias("feature")))
-    scored = _meet(features).filter(_worth_scoring()).mapInPandas(_person_scorer(vectors, initials, edge), "a string, b string, s double")
+    formed = scratch.keep(joined.select("raw", "family", form.alias("form"), F.when(F.size("given") > 0, F.coalesce("name", "alias")).alias("first")))
+    distinct = formed.select("form", F.col("first").alias("name")).distinct().join(short, "name", "left")
+    forms = distinct.select("form", F.concat(F.coalesce(F.substring("name", 1, 1), F.lit("")), F.coalesce("others", F.lit(""))).alias("starts"))
+    vectors = gram_vectors(formed.select("family").distinct())
+    scored = _meet(scratch.keep(_postings(forms))).mapInPandas(_person_scorer(vectors), "a string, b string, s double")
     copies = rows.join(formed, "raw").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    clusters = average_linkage(scored.dropDuplicates(["a", "b"]), copies, link)
+    clusters = average_linkage(scored.groupBy("a", "b").agg(F.max("s").alias("s")), copies, link)
     labelled = rows.join(formed.select("raw", "form"), "raw", "left").join(clusters.withColumnRenamed("node", "form"), "form", "left")
     alone = F.concat(F.lit("\x1e"), "key")
     empty = F.col("form").isNull() | (F.col("form") == "")
@@ -404,7 +422,7 @@ def parse_organisation(text: str | None) -> tuple[str, list[str]]:
         if kind is None and len(plain) >= 3:
             most = 2 if len(plain) > 8 else 1
             kind = next((k for w, k in ORGANISATION_WORDS.items() if len(w) >= 4 and near(plain, w, most)), None)
-        if kind is None and len(plain) > 3:  # shorter ones are mistyped particles
+        if kind is None and (len(plain) > 3 or not any(near(plain, p) for p in _SMALL)):  # mistyped particles are left out
             words.append(plain.replace("w", "v").replace("c", "k").replace("y", "i"))
         elif kind:
             kinds.add(kind)
@@ -414,11 +432,16 @@ def parse_organisation(text: str | None) -> tuple[str, list[str]]:
 def _parse_organisations(frames):
     for pdf in frames:
         parsed = [parse_organisation(x) for x in pdf["raw"]]
-        features = [list({f"{k}|{g}" for w in ws for g in (f"={w}", *anchored(w))}) for k, ws in parsed]
+        features = [list({f"{k}|{g}" for w in ws for g in edge_grams(w)}) for k, ws in parsed]
         yield pd.DataFrame({"raw": pdf["raw"], "form": ["\x1f".join([k, *ws]) for k, ws in parsed], "feature": features})
 
 
-def _organisation_scorer(vectors: Vectors, counts: dict[str, int], edge: float):
+def _misspelt(m: int, n: int) -> bool:
+    """Whether the rarer of two words, found in m and n spellings, may be a misspelling of the other."""
+    return min(m, n) <= max(1, RARE_SHARE * max(m, n))
+
+
+def _organisation_scorer(vectors: Vectors, counts: dict[str, int]):
     def run(frames):
         for pdf in frames:
             out = []
@@ -427,21 +450,20 @@ def _organisation_scorer(vectors: Vectors, counts: dict[str, int], edge: float):
                 if ka != kb or len(wa) != len(wb):
                     continue
                 # every word is a unit vector; words are matched greedily, best first
-                pairs = sorted(((vectors.alike(x, y, counts.get(x, 0), counts.get(y, 0)), i, j) for i, x in enumerate(wa) for j, y in enumerate(wb)), reverse=True)
+                pairs = sorted(((vectors.alike(x, y) if x == y or _misspelt(counts[x], counts[y]) else 0.0, i, j) for i, x in enumerate(wa) for j, y in enumerate(wb)), reverse=True)
                 left, right, total, least = set(), set(), 0.0, 1.0
                 for c, i, j in pairs:
                     if i not in left and j not in right:
                         left.add(i), right.add(j)
                         total, least = total + c, min(least, c)
-                score = total / len(wa) if wa and least > 0 else 0.0
-                if score >= edge:
-                    out.append((a, b, score))
+                if wa and least > 0:
+                    out.append((a, b, total / len(wa)))
             yield pd.DataFrame(out, columns=["a", "b", "s"])
 
     return run
 
 
-def link_organisations(spellings: DataFrame, key: str, text: str, edge: float = ORG_EDGE, link: float = ORG_LINK) -> DataFrame:
+def link_organisations(spellings: DataFrame, key: str, text: str, link: float = ORG_LINK) -> DataFrame:
     """(key, cluster) of every distinct key; spellings of one cluster are held to be one organisation.
 
     Made for an authority list of spellings, whose number doesn't grow with the records: the counts of
@@ -456,10 +478,11 @@ def link_organisations(spellings: DataFrame, key: str, text: str, edge: float =
     often = scratch.keep(parsed.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     vectors = gram_vectors(often.select("word"))
     counts = {r.word: r.n for r in often.collect()}
-    features = parsed.select("form", F.explode("feature").alias("feature")).distinct().withColumn("n", F.lit(0))
-    scored = _meet(features).mapInPandas(_organisation_scorer(vectors, counts, edge), "a string, b string, s double")
+    features = parsed.select("form", F.explode("feature").alias("feature")).distinct()
+    met = features.toDF("a", "feature").join(features.toDF("b", "feature"), "feature").filter("a < b").select("a", "b").distinct()
+    scored = met.mapInPandas(_organisation_scorer(vectors, counts), "a string, b string, s double")
     copies = rows.join(parsed, "raw").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
-    clusters = average_linkage(scored.dropDuplicates(["a", "b"]), copies, link)
+    clusters = average_linkage(scored, copies, link)
     labelled = rows.join(parsed.select("raw", "form"), "raw", "left").join(clusters.withColumnRenamed("node", "form"), "form", "left")
     empty = F.col("form").isNull() | ~F.col("form").contains("\x1f")
     return labelled.select(F.col("key").alias(key), F.when(empty, F.concat(F.lit("\x1e"), "key")).otherwise(F.coalesce("cluster", "form")).alias("cluster"))
