@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import evidence, labelling, metrics, quality, reports, sampling, tfidf
+from weft.functions import text
+from weft.operators import decisions, evidence, labelling, metrics, quality, reports, sampling, tfidf
 
 
 def test_metric_suite(spark):
@@ -64,10 +65,37 @@ AND = "anchor_author_norm string, candidate_author_norm string, anchor_coauthors
 
 def test_author_labels(spark):
     rows = [("doe, j", "doe, j", "x | y", "y", "", ""), ("doe, j", "doe, j", "", "", "a b", "c d"), ("doe, j", "zzz", "", "", "", ""), ("", None, "x", "x", "a", "a"), ("doe, j (123456)", "doe, j", "", "", "lab a", "lab a")]
-    p = labelling.and_signals(spark.createDataFrame(rows, AND))
-    got = p.select("name_sim", "coauthor_overlap_count", labelling.and_label().alias("l"), labelling.autofill_and()["rule"].alias("r")).collect()
+    packets = spark.createDataFrame(rows, AND)
+    p = labelling.and_signals(packets)
+    got = p.select("name_sim", "coauthor_overlap_count", labelling.and_label().alias("l")).collect()
     assert [r.l for r in got] == ["match", "uncertain", "non-match", "non-match", "match"]
-    assert got[0].coauthor_overlap_count == 1 and got[3].name_sim == 0.0 and got[4].r == "name_affil"
+    assert got[0].coauthor_overlap_count == 1 and got[3].name_sim == 0.0
+    auto = [r[0] for r in labelling.autofill_and_signals(packets).select(labelling.autofill_and()["rule"]).collect()]
+    assert auto == ["AND_MATCH_NAME+COAUTH", "", "AND_NONMATCH_LOWNAME", "AND_NONMATCH_LOWNAME", "AND_MATCH_NAME+AFFIL"]
+
+
+@pytest.mark.parametrize(
+    "n, co, affil, a, b, expected",
+    [
+        (0.97, 1, 0.0, "x", "x", "match"), (0.97, 0, 0.95, "", "x", "match"), (0.97, 1, 0.0, "x", "y", None), (0.97, 0, 0.94, "x", "x", None), (0.969, 1, 1.0, "x", "x", None),
+        (0.85, 3, 1.0, "x", "y", "non-match"), (0.85, 0, 0.0, "x", "x", None), (0.85, 0, 0.0, "", "y", None), (0.70, 5, 1.0, "x", "x", "non-match"), (0.70, 0, 0.0, "", "", "non-match"), (0.71, 0, 0.0, "", "", None),
+    ],
+)
+def test_autofill_author_rules(spark, n, co, affil, a, b, expected):
+    df = spark.createDataFrame([(n, co, affil, a, b)], "name_sim double, coauthor_overlap_count int, affil_sim double, surname_a string, surname_b string")
+    assert df.select(labelling.autofill_and()["label"]).first()[0] == expected
+
+
+@pytest.mark.parametrize(
+    "s, j, acronym, fell_back, expected",
+    [
+        (0.95, 0.60, False, False, "match"), (0.95, 0.59, False, False, None), (0.95, 0.0, True, False, "match"), (0.96, 0.9, True, True, None), (0.97, 0.9, True, True, "match"),
+        (0.45, 0.20, False, False, "non-match"), (0.45, 0.21, False, False, None), (0.45, 0.20, True, False, None), (0.46, 0.0, False, False, None),
+    ],
+)
+def test_autofill_affiliation_rules(spark, s, j, acronym, fell_back, expected):
+    df = spark.createDataFrame([(s, j, acronym, fell_back)], "affil_str_sim double, token_jaccard double, acronym_overlap boolean, fb boolean")
+    assert df.select(labelling.autofill_ain(F.col("fb"))["label"]).first()[0] == expected
 
 
 @pytest.mark.parametrize("name_sim, expected", [(0.60, "non-match"), (0.61, "uncertain"), (0.98, "uncertain")])
@@ -84,9 +112,25 @@ def test_affiliation_labels(spark):
 
 
 def test_fill_labels(spark):
-    df = spark.createDataFrame([("match", "x"), ("", "y"), (None, "z"), (" ", "w")], "old string, new string")
-    assert [r.filled for r in labelling.fill_labels(df, "old", "new").collect()] == ["match", "y", "z", "w"]
-    assert [r.filled for r in labelling.fill_labels(df, "old", "new", overwrite=True).collect()] == ["x", "y", "z", "w"]
+    df = spark.createDataFrame([("match", "x"), ("", "y"), (None, "z"), (" ", None)], "old string, new string")
+    got = labelling.fill_labels(df, "old", F.col("new"), F.lit("r"), F.lit("m"))
+    assert [tuple(r) for r in got.select("old", "auto_filled", "auto_rule", "auto_metrics").collect()] == [
+        ("match", "false", "skipped:already_filled", ""), ("y", "true", "r", "m"), ("z", "true", "r", "m"), (" ", "false", "", "m")
+    ]
+    assert [r.old for r in labelling.fill_labels(df, "old", F.col("new"), F.lit("r"), F.lit("m"), overwrite=True).collect()] == ["x", "y", "z", " "]
+
+
+def test_surnames(spark):
+    df = spark.createDataFrame([("doe jan",), ("Solo",), ("",), (None,), ("Jan F. Doe (123456)",), ("doe, jan",)], "n string")
+    assert [tuple(r[0]) for r in df.select(text.surname_initial(F.col("n"))).collect()] == [("jan", "d"), ("", ""), ("", ""), ("", ""), ("doe", "j"), ("jan", "d")]
+
+
+def test_decisions_without_label(spark):
+    rows = spark.createDataFrame([("a", None, "api_error: x"), ("b", None, None)], "anchor_id string, d string, error string")
+    log = rows.select(F.from_json(F.lit("{}"), decisions.DECISION_SCHEMA).alias("x"), "anchor_id", "error").select("x.*", F.col("anchor_id").alias("id"), F.col("error").alias("e"))
+    log = log.drop("anchor_id", "error").withColumnsRenamed({"id": "anchor_id", "e": "error"})
+    got = decisions.flatten_decisions(log.unionByName(log.withColumn("decision", F.from_json(F.lit('{"confidence": 0.5}'), log.schema["decision"].dataType))))
+    assert [(r.label, r.confidence, r.reason_code) for r in got.collect()] == [("error", 0.0, "api_error: x"), ("error", 0.0, ""), ("error", 0.5, "api_error: x"), ("error", 0.5, "")]
 
 
 def test_linked_authors(spark):

@@ -59,6 +59,7 @@ def normalise_label_text(c: Column) -> Column:
     return F.when(out.isin("nan", "none"), "").otherwise(out)
 
 
+#: Fixed value: Roman numerals.
 ROMAN = r"(?i)^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
@@ -143,10 +144,17 @@ def pipe_acronyms(c: Column) -> Column:
 
 
 def surname_initial(c: Column) -> Column:
-    """struct(surname, initial) of a normalised name with at least two tokens, else two empty texts."""
-    t = F.split(strip(F.regexp_replace(blank_if_null(c), ",", " ")), rf"{SPACE}+")
+    """struct(surname, initial) of a name of at least two tokens: its last token and the first letter of its
+    first; else two empty texts."""
+    t = words(compare_name(c))
     many = F.size(t) >= 2
-    return F.struct(F.when(many, t[0]).otherwise("").alias("surname"), F.when(many, F.substring(F.element_at(t, -1), 1, 1)).otherwise("").alias("initial"))
+    return F.struct(F.when(many, F.element_at(t, -1)).otherwise("").alias("surname"), F.when(many, F.substring(t[0], 1, 1)).otherwise("").alias("initial"))
+
+
+def compare_names(c: Column) -> Column:
+    """array<string>: the distinct names of a pipe list in the form for comparing, without the ellipsis."""
+    parts = F.filter(F.transform(F.split(safe_text(c), r"\|"), strip), lambda x: (x != "") & (x != "…"))
+    return F.array_distinct(F.transform(parts, lambda x: strip(compare_name(x))))
 
 
 def truncate(c: Column, n: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions import text
 from weft.plans.runtime import Scratch
 
 #: Ids are long texts; pairs are made of 8-byte numbers in the order of the ids and named at the end.
@@ -137,6 +138,20 @@ def author_candidates(instances: DataFrame, unique: DataFrame, columns: list[str
     return with_names(top_k(sides.withColumn("score", score), k), ["anchor_id", "candidate_id"], numbers)
 
 
+def affiliation_candidates(mentions: DataFrame, score, k: int = TOP_K, cap: int = BLOCK_CAP) -> DataFrame:
+    """The k best candidates of each affiliation mention: pairs of ``affiliation_pairs``, scored by ``score`` over
+    a_* and c_* columns, with similarity_score, rank and both query frames; year_diff is always null."""
+    unique = mentions.groupBy("affil_instance_id").agg(F.min_by(F.struct("affil_norm", "affil_acronyms", "query_frame"), F.struct("query_frame", "year_int", "record_id")).alias("m")).select("affil_instance_id", "m.*")
+    numbers = numbered(mentions.select("affil_instance_id"))
+    named = with_numbers(mentions, "affil_instance_id", numbers)
+    sides = with_sides(affiliation_pairs(named, cap), with_numbers(unique, "affil_instance_id", numbers), "affil_instance_id", ["affil_norm", "affil_acronyms", "query_frame"])
+    ranked = with_names(top_k(sides.withColumn("score", score), k), ["anchor_id", "candidate_id"], numbers)
+    return ranked.select(
+        F.lit("AIN").alias("task"), "anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.col("score").alias("similarity_score"), "rank", F.lit(None).cast("int").alias("year_diff"),
+        text.blank_if_null(F.col("a_query_frame")).alias("query_frame_anchor"), text.blank_if_null(F.col("c_query_frame")).alias("query_frame_candidate"),
+    )
+
+
 def block_sizes(keys: DataFrame, n: int = 20) -> DataFrame:
     """(pass_id, block_key, size) of the n largest blocks per pass; keys: (pass_id, block_key)."""
     sizes = keys.filter(F.col("block_key").isNotNull()).groupBy("pass_id", "block_key").agg(F.count(F.lit(1)).alias("size"))

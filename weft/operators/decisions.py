@@ -16,15 +16,16 @@ error string, retry_count int, backend string, usage struct<input_tokens: int, o
 
 
 def flatten_decisions(log: DataFrame) -> DataFrame:
-    """One flat row per log line; a missing or empty decision is label 'error' with confidence 0."""
+    """One flat row per log line.  A missing or empty decision is label 'error' with confidence 0 and no
+    evidence, a decision without label is 'error' too; without a reason code the error text stands for it."""
     d = F.col("decision")
     missing = d.isNull() | (d["label"].isNull() & d["confidence"].isNull() & d["evidence_used"].isNull() & d["reason_code"].isNull() & d["abstention_reason"].isNull())
     return log.select(
         "run_id", "task", "anchor_id", "candidate_id", "prompt_version", "model_id",
-        F.when(missing, "error").otherwise(F.coalesce(d["label"], F.lit("uncertain"))).alias("label"),
+        F.coalesce(d["label"], F.lit("error")).alias("label"),
         F.when(missing, 0.0).otherwise(F.coalesce(d["confidence"], F.lit(0.0))).alias("confidence"),
         F.when(missing, F.array().cast("array<string>")).otherwise(F.coalesce(d["evidence_used"], F.array().cast("array<string>"))).alias("evidence_used"),
-        F.when(~missing, d["reason_code"]).alias("reason_code"), F.when(~missing, d["abstention_reason"]).alias("abstention_reason"),
+        F.coalesce(d["reason_code"], F.col("error"), F.lit("")).alias("reason_code"), F.when(~missing, d["abstention_reason"]).alias("abstention_reason"),
         "error", F.coalesce("retry_count", F.lit(0)).alias("retry_count"), "backend",
         F.col("usage.input_tokens").alias("input_tokens"), F.col("usage.output_tokens").alias("output_tokens"), "timestamp",
     )
@@ -43,17 +44,29 @@ def last_decision(decisions: DataFrame, order: list, columns: list[str], compat:
     return decisions.groupBy(*PAIR).agg(F.max_by(F.struct(*columns), rank).alias("r")).select(*PAIR, "r.*")
 
 
-def error_classes(message) -> "F.Column":
-    """Class of an error text by keywords, the first that fits."""
+#: Class of an error by its HTTP status.
+STATUS_CLASSES = {400: "INVALID_REQUEST", 401: "AUTH", 402: "BILLING", 403: "PERMISSION", 404: "MODEL_NOT_FOUND", 429: "RATE_LIMIT"}
+
+
+def error_classes(message, status=None) -> "F.Column":
+    """Class of an error: by its HTTP status where there is one (billing words win over 400 and unknown
+    ones), else by the keywords of its text, the first that fits."""
     m = F.lower(F.coalesce(message, F.lit("")))
-    return (
+    limits = m.contains("usage") & m.contains("limit")
+    billing = m.contains("billing") | m.contains("credit")
+    by_text = (
         F.when(m.contains("empty_response_content") | m.contains("list index out of range"), "INVALID_RESPONSE")
         .when(m.contains("auth") | m.contains("unauthorized") | m.contains("api key"), "AUTH")
-        .when(m.contains("billing") | m.contains("credit") | (m.contains("usage") & m.contains("limit")), "BILLING")
+        .when(billing | limits, "BILLING")
         .when(m.contains("rate") | m.contains("429"), "RATE_LIMIT")
         .when(m.contains("connect") | m.contains("timeout") | m.contains("network"), "NETWORK")
         .otherwise("UNKNOWN")
     )
+    if status is None:
+        return by_text
+    known = F.create_map(*(F.lit(x) for kv in STATUS_CLASSES.items() for x in kv))[status]
+    by_status = F.when((status == 400) & limits, "BILLING").when((status > 404) & (status != 429) & billing, "BILLING").otherwise(F.coalesce(known, F.lit("UNKNOWN")))
+    return F.when(status.isNull(), by_text).otherwise(by_status)
 
 
 def still_open(pairs: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -58,8 +58,13 @@ def labels_for(rows: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def disagreements(df: DataFrame, n: int = 20) -> DataFrame:
-    """Up to n pairs of each kind: gold match kept as non-match, gold non-match kept as match, decided but routed uncertain."""
-    g, p = F.col("gold_label"), F.col("routed")
-    kind = F.when((g == "match") & (p == "non-match"), "missed").when((g == "non-match") & (p == "match"), "wrong").when(F.col("decided").isin("match", "non-match") & (p == "uncertain"), "held_back")
+    """Up to n pairs of each kind: gold uncertain but decided, gold match not found as one, gold non-match not
+    found as one (a pair without final label isn't found)."""
+    g, p = F.col("gold_label"), F.coalesce("routed", F.lit(""))
+    kind = (
+        F.when((g == "uncertain") & p.isin("match", "non-match"), "gold_uncertain_but_decided")
+        .when((g == "match") & (p != "match"), "gold_match_missed")
+        .when((g == "non-match") & (p != "non-match"), "gold_nonmatch_missed")
+    )
     order = W.partitionBy("kind").orderBy(*PAIR)
     return df.withColumn("kind", kind).filter("kind is not null").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= n).drop("k")

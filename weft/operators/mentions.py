@@ -52,12 +52,12 @@ def author_mentions(records: DataFrame, coauthor_limit: int | None = None) -> Da
 def affiliation_mentions(records: DataFrame) -> DataFrame:
     """One row per affiliation of a record, with its acronyms and blocking keys.
 
-    The normalised form is the element of affiliations_norm at the same position, as stored.
+    The normalised form is that of the raw element, so differently typed cells share blocks.
     """
-    raws, norms = text.split_list(F.col("Affiliations")), text.split_list(F.col("affiliations_norm"))
-    base = records.select("record_id", text.blank_if_null(F.col("EID")).alias("EID"), "query_frame", "year_int", raws.alias("raws"), norms.alias("norms"))
-    rows = base.select("*", F.posexplode("raws").alias("affil_pos", "affil_raw"))
-    norm = F.coalesce(F.get("norms", F.col("affil_pos")), F.lower("affil_raw"))
+    raws = text.split_list(F.col("Affiliations"))
+    base = records.select("record_id", text.blank_if_null(F.col("EID")).alias("EID"), "query_frame", "year_int", raws.alias("raws"))
+    rows = base.select("*", F.posexplode("raws").alias("affil_pos", "affil_raw")).withColumn("_norm", text.normalise_text(F.col("affil_raw")))
+    norm = F.col("_norm")
     return rows.select(
         F.sha2(F.concat_ws("|", "EID", F.col("affil_pos").cast("string"), "affil_raw"), 256).alias("affil_instance_id"),
         "record_id", "EID", "query_frame", "year_int", "affil_pos", "affil_raw", norm.alias("affil_norm"),

@@ -58,19 +58,45 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def cost_report(decisions: DataFrame, price_in: float = 3.0, price_out: float = 15.0) -> DataFrame:
-    """Tokens, retries, errors and cost per model and in total (model 'TOTAL')."""
-    cost = F.sum(F.coalesce("input_tokens", F.lit(0))) / 1e6 * price_in + F.sum(F.coalesce("output_tokens", F.lit(0))) / 1e6 * price_out
+    """Tokens, rows with a retry, errors, cost and time span per model and in total (model 'TOTAL').
+
+    Stub rows (backend requests_only) are counted as n_stubs and take no part in the rest; averages are
+    over the rows with token counts; an error is a label 'error' or a reason code api_error..."""
+    real = ~F.coalesce(F.col("backend") == "requests_only", F.lit(False))
+    sums = {c: F.coalesce(F.sum(F.when(real, F.col(c))), F.lit(0)) for c in ("input_tokens", "output_tokens")}
+    used = F.count(F.when(real, F.col("input_tokens")))
+    cost = sums["input_tokens"] / 1e6 * price_in + sums["output_tokens"] / 1e6 * price_out
+    failed = (F.col("label") == "error") | F.col("reason_code").startswith("api_error")
     named = decisions.withColumn("model", F.coalesce("model_id", F.lit("")))
     rolled = named.rollup("model").agg(
-        F.grouping("model").alias("_all"), F.count(F.lit(1)).alias("n_calls"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"),
-        F.sum(F.coalesce("output_tokens", F.lit(0))).alias("output_tokens"), F.sum("retry_count").alias("retries"), F.count_if(F.col("label") == "error").alias("n_errors"),
-        F.round(cost, 6).alias("cost_usd"), F.round(cost / F.count(F.lit(1)) * 1000, 6).alias("cost_per_1k"), F.countDistinct("run_id").alias("n_runs"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"),
+        F.grouping("model").alias("_all"), F.count(F.lit(1)).alias("n_decisions"), F.count_if(~real).alias("n_stubs"), used.alias("n_with_usage"),
+        F.count_if(real & (F.col("retry_count") > 0)).alias("n_retries"), F.count_if(real & failed).alias("n_api_errors"),
+        sums["input_tokens"].alias("input_tokens"), sums["output_tokens"].alias("output_tokens"),
+        F.round(F.try_divide(sums["input_tokens"], used), 6).alias("avg_input_tokens"), F.round(F.try_divide(sums["output_tokens"], used), 6).alias("avg_output_tokens"),
+        F.round(cost, 6).alias("cost_usd"), F.round(F.try_divide(cost * 1000, used), 6).alias("cost_per_1k"),
+        F.min(F.when(real, F.col("timestamp"))).alias("first_seen"), F.max(F.when(real, F.col("timestamp"))).alias("last_seen"),
     )
     seconds = F.unix_timestamp(F.col("last_seen").try_cast("timestamp")) - F.unix_timestamp(F.col("first_seen").try_cast("timestamp"))
     return rolled.withColumn("duration_s", seconds).withColumn("model", F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col("model"))).drop("_all")
 
 
+#: Stages of a run; only the time span of the verification is in its log.
+VERIFY_STAGE = "C5 (LLM verify -- API call span)"
+UNTIMED_STAGES = ("C4 (blocking/candidate generation)", "C6 (guard application)", "C7 (clustering/union-find)")
+
+
+def runtime_summary(costs: DataFrame, task: str) -> DataFrame:
+    """(task, stage, duration_sec, duration_min, n_pairs, sec_per_1k_pairs, data_available) from the TOTAL row of
+    ``cost_report``; one row of nulls for each stage whose time isn't in the log."""
+    d, n = F.col("duration_s").cast("double"), F.col("n_with_usage")
+    verify = costs.filter("model = 'TOTAL'").select(
+        F.lit(task).alias("task"), F.lit(VERIFY_STAGE).alias("stage"), d.alias("duration_sec"), (d / 60).alias("duration_min"), n.alias("n_pairs"),
+        F.try_divide(d * 1000, n).alias("sec_per_1k_pairs"), (n > 0).alias("data_available"),
+    )
+    stages = costs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, UNTIMED_STAGES))).alias("stage"))
+    return verify.unionByName(stages.withColumns({"task": F.lit("all"), "data_available": F.lit(False)}), allowMissingColumns=True)
+
+
 def score_summary(df: DataFrame, by: str, score: str) -> DataFrame:
     s = F.when(~F.isnan(F.col(score)), F.col(score))
     return df.groupBy(by).agg(F.min(s).alias("min_score"), F.max(s).alias("max_score"), F.round(F.avg(s), 12).alias("mean_score"), F.count(s).alias("n_scored"))

@@ -262,30 +262,53 @@ SELECT t.id AS affil_instance_id, CASE WHEN g.id IS NULL THEN array_to_string(ev
 
 
 def packet_labels(spark, sf_dir):
-    """Quality-control and autofill labels of the author packets."""
-    p = labelling.and_signals(author_packets(spark, sf_dir))
-    return p.select(*_IDS, F.round("name_sim", 4).alias("name_sim"), "coauthor_overlap_count", F.round("affil_sim", 4).alias("affil_sim"), labelling.and_label().alias("label"), labelling.autofill_and().alias("a")).select("*", F.col("a.label").alias("auto"), "a.rule").drop("a")
+    """Quality-control labels of the author packets, and the autofill labels, whose signals are others."""
+    packets = author_packets(spark, sf_dir)
+    control = labelling.and_signals(packets).select(*_IDS, *(F.round(c, 4).alias(c) if c != "coauthor_overlap_count" else F.col(c) for c in ("name_sim", "coauthor_overlap_count", "affil_sim")), labelling.and_label().alias("label"))
+    auto = labelling.autofill_and_signals(packets).select(*_IDS, labelling.autofill_and().alias("a"), labelling.autofill_details("AND").alias("details"))
+    return control.join(auto.select(*_IDS, F.col("a.label").alias("auto"), "a.rule", "details"), _IDS)
 
 
 def label_rules(spark, sf_dir):
-    """The label rules over given signals: confidence and signal counts of the log stand in."""
+    """The label rules over given signals: confidence, counts and letters of the log stand in."""
+    letter = F.when(F.col("retry_count") > 0, F.substring("anchor_id", 1, 1)).otherwise("")
     p = table(spark, sf_dir, _LOG).select(
-        *_IDS, "timestamp", F.col("confidence").alias("name_sim"), F.col("signals_count").alias("coauthor_overlap_count"), (1 - F.col("confidence")).alias("affil_sim"), (F.col("retry_count") > 0).alias("surname_match"),
+        *_IDS, "timestamp", F.col("confidence").alias("name_sim"), F.col("signals_count").alias("coauthor_overlap_count"), (1 - F.col("confidence")).alias("affil_sim"),
+        letter.alias("surname_a"), F.substring("candidate_id", 1, 1).alias("surname_b"), (F.col("retry_count") > 0).alias("fell_back"),
         F.col("confidence").alias("affil_str_sim"), (F.col("retry_count") / 2.0).alias("token_jaccard"), (F.col("signals_count") > 2).alias("acronym_overlap"),
     )
-    return p.select(*_IDS, "timestamp", labelling.and_label().alias("and_label"), labelling.ain_label().alias("ain_label"), labelling.autofill_and()["rule"].alias("and_rule"), labelling.autofill_ain(F.col("surname_match"))["rule"].alias("ain_rule"))
+    out = p.select(*_IDS, "timestamp", labelling.and_label().alias("and_label"), labelling.ain_label().alias("ain_label"), labelling.autofill_and().alias("a"), labelling.autofill_ain(F.col("fell_back")).alias("i"))
+    return out.select(*_IDS, "timestamp", "and_label", "ain_label", F.col("a.label").alias("and_auto"), F.col("a.rule").alias("and_rule"), F.col("i.label").alias("ain_auto"), F.col("i.rule").alias("ain_rule"))
 
 
-LABEL_RULES_SQL = f"""WITH p AS (SELECT anchor_id, candidate_id, timestamp, confidence AS n, signals_count AS co, 1 - confidence AS a, retry_count > 0 AS sm, retry_count / 2.0 AS tj, signals_count > 2 AS ao FROM {_LOG})
-SELECT anchor_id, candidate_id, timestamp, CASE WHEN n >= 0.98 AND (co >= 1 OR a >= 0.95) THEN 'match' WHEN n <= 0.60 THEN 'non-match' ELSE 'uncertain' END AS and_label,
+_RULES_CTE = f"""p AS (SELECT anchor_id, candidate_id, timestamp, confidence AS n, signals_count AS co, 1 - confidence AS a, CASE WHEN retry_count > 0 THEN left(anchor_id, 1) ELSE '' END AS x, left(candidate_id, 1) AS y,
+ retry_count > 0 AS fb, retry_count / 2.0 AS tj, signals_count > 2 AS ao FROM {_LOG}),
+r AS (SELECT *, CASE WHEN n >= 0.98 AND (co >= 1 OR a >= 0.95) THEN 'match' WHEN n <= 0.60 THEN 'non-match' ELSE 'uncertain' END AS and_label,
  CASE WHEN n >= 0.95 AND (tj >= 0.55 OR ao) THEN 'match' WHEN n <= 0.45 THEN 'non-match' ELSE 'uncertain' END AS ain_label,
- CASE WHEN n >= 0.98 AND co >= 1 THEN 'name_coauthor' WHEN n >= 0.98 AND a >= 0.95 THEN 'name_affil' WHEN n >= 0.90 AND sm AND co >= 1 AND a >= 0.80 THEN 'surname_coauthor_affil' WHEN n <= 0.60 AND NOT sm THEN 'name_unlike' ELSE 'no_rule' END AS and_rule,
- CASE WHEN n >= (CASE WHEN sm THEN 0.97 ELSE 0.95 END) AND ao THEN 'text_acronym' WHEN n >= (CASE WHEN sm THEN 0.97 ELSE 0.95 END) AND tj >= 0.55 THEN 'text_tokens' WHEN n <= 0.45 THEN 'text_unlike' ELSE 'no_rule' END AS ain_rule FROM p"""
+ CASE WHEN n >= 0.97 AND (co >= 1 OR a >= 0.95) AND (x = '' OR y = '' OR x = y) THEN CASE WHEN co >= 1 THEN 'AND_MATCH_NAME+COAUTH' ELSE 'AND_MATCH_NAME+AFFIL' END
+      WHEN x <> '' AND y <> '' AND x <> y AND n <= 0.85 THEN 'AND_NONMATCH_SURNAME_MISMATCH' WHEN n <= 0.70 THEN 'AND_NONMATCH_LOWNAME' ELSE '' END AS and_rule,
+ CASE WHEN n >= 0.95 AND (ao OR tj >= 0.60) AND NOT (fb AND n < 0.97) THEN CASE WHEN ao THEN 'AIN_MATCH_STR+ACRO' ELSE 'AIN_MATCH_STR+JAC' END
+      WHEN n <= 0.45 AND tj <= 0.20 AND NOT ao THEN 'AIN_NONMATCH_STR+JAC' ELSE '' END AS ain_rule FROM p),
+z AS (SELECT *, CASE WHEN and_rule LIKE '%NONMATCH%' THEN 'non-match' WHEN and_rule <> '' THEN 'match' END AS and_auto, CASE WHEN ain_rule LIKE '%NONMATCH%' THEN 'non-match' WHEN ain_rule <> '' THEN 'match' END AS ain_auto FROM r)"""
+LABEL_RULES_SQL = f"WITH {_RULES_CTE} SELECT anchor_id, candidate_id, timestamp, and_label, ain_label, and_auto, and_rule, ain_auto, ain_rule FROM z"
 
 
 def fill_labels(spark, sf_dir):
+    """Final labels filled by the author rules over the stand-in signals, counted with their audit columns."""
     log = table(spark, sf_dir, _LOG)
-    return labelling.fill_labels(log, "label_final", "label").groupBy("filled", "fill_source").agg(F.count(F.lit(1)).alias("n"))
+    p = log.select(
+        "label_final", F.col("confidence").alias("name_sim"), F.col("signals_count").alias("coauthor_overlap_count"), (1 - F.col("confidence")).alias("affil_sim"),
+        F.when(F.col("retry_count") > 0, F.substring("anchor_id", 1, 1)).otherwise("").alias("surname_a"), F.substring("candidate_id", 1, 1).alias("surname_b"),
+    )
+    rule = labelling.autofill_and()
+    filled = labelling.fill_labels(p, "label_final", rule["label"], rule["rule"], labelling.autofill_details("AND"))
+    return filled.groupBy("label_final", "auto_filled", "auto_rule", (F.col("auto_metrics") == "").alias("no_metrics")).agg(F.count(F.lit(1)).alias("n"))
+
+
+FILL_SQL = f"""WITH {_RULES_CTE.replace("anchor_id, candidate_id, timestamp, confidence AS n", "coalesce(label_final, '') AS lf, confidence AS n", 1)},
+k AS (SELECT *, {STRIP('lf')} <> '' AND lower({STRIP('lf')}) NOT IN ('nan', 'none') AS kept FROM z)
+SELECT CASE WHEN NOT kept AND and_auto IS NOT NULL THEN and_auto ELSE lf END AS label_final, CASE WHEN NOT kept AND and_auto IS NOT NULL THEN 'true' ELSE 'false' END AS auto_filled,
+ CASE WHEN kept THEN 'skipped:already_filled' ELSE and_rule END AS auto_rule, kept AS no_metrics, count(*) AS n FROM k GROUP BY ALL"""
 
 
 # ---------------------------------------------------------------- tf-idf
@@ -335,6 +358,14 @@ def best_system(spark, sf_dir):
 BEST_SQL = f"""WITH {_L}, x AS (SELECT * FROM l), suite AS (SELECT * FROM (WITH {_rates(['run_id', 'system'])}))
 SELECT run_id, system, f1_match AS f1 FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY f1_match DESC, system) AS k FROM suite WHERE f1_match IS NOT NULL) WHERE k = 1"""
 
+COSTS_SQL = f"""SELECT *, round(i / nullif(n_with_usage, 0), 6) AS avg_input_tokens, round(o / nullif(n_with_usage, 0), 6) AS avg_output_tokens, round(i / 1e6 * 3.0 + o / 1e6 * 15.0, 6) AS cost_usd,
+ round((i / 1e6 * 3.0 + o / 1e6 * 15.0) * 1000 / nullif(n_with_usage, 0), 6) AS cost_per_1k, CAST(epoch(last_seen::TIMESTAMPTZ) - epoch(first_seen::TIMESTAMPTZ) AS BIGINT) AS duration_s, i AS input_tokens, o AS output_tokens
+FROM (SELECT CASE WHEN grouping(model) = 1 THEN 'TOTAL' ELSE model END AS model, count(*) AS n_decisions, count(*) FILTER (stub) AS n_stubs, count(input_tokens) FILTER (NOT stub) AS n_with_usage,
+ count(*) FILTER (NOT stub AND retry_count > 0) AS n_retries, count(*) FILTER (NOT stub AND (label = 'error' OR reason_code LIKE 'api_error%')) AS n_api_errors,
+ CAST(coalesce(sum(input_tokens) FILTER (NOT stub), 0) AS BIGINT) AS i, CAST(coalesce(sum(output_tokens) FILTER (NOT stub), 0) AS BIGINT) AS o, min(timestamp) FILTER (NOT stub) AS first_seen, max(timestamp) FILTER (NOT stub) AS last_seen
+ FROM (SELECT *, coalesce(model_id, '') AS model, coalesce(backend = 'requests_only', false) AS stub FROM {_LOG}) GROUP BY ROLLUP (model))""".replace("SELECT *, round(i", "SELECT * EXCLUDE (i, o), round(i", 1)
+
+
 QUERIES = {
     "agg12_metric_suite": (metric_suite, f"WITH {_L}, x AS (SELECT * FROM l), {_rates(['run_id', 'system'])}"),
     "jsn12_slices": (
@@ -361,7 +392,7 @@ QUERIES = {
     "jn26_linked_authors": (linked_authors, LINKED_SQL),
     "rul02_packet_labels": (packet_labels, None),
     "rul04_label_rules": (label_rules, LABEL_RULES_SQL),
-    "rul06_fill_labels": (fill_labels, f"SELECT CASE WHEN {STRIP('coalesce(label_final, chr(32))')} <> '' THEN label_final ELSE label END AS filled, CASE WHEN {STRIP('coalesce(label_final, chr(32))')} <> '' THEN 'kept' ELSE 'auto' END AS fill_source, count(*) AS n FROM {_LOG} GROUP BY ALL"),
+    "rul06_fill_labels": (fill_labels, FILL_SQL),
     "sim11_tfidf": (tfidf_scores, TFIDF_SQL),
     "agg01_rows_per_file": (lambda s, d: table(s, d, "records_normalised").groupBy("query_frame", "source_file").agg(F.count(F.lit(1)).alias("n")), "SELECT query_frame, source_file, count(*) AS n FROM records_normalised GROUP BY ALL"),
     "agg02_missingness": (lambda s, d: reports.missingness(table(s, d, "records_normalised"), _COLUMNS), _missing_sql()),
@@ -379,12 +410,12 @@ QUERIES = {
         "SELECT element, count(*) AS n FROM (SELECT unnest(affiliations_acronyms) AS element FROM records_normalised) GROUP BY element ORDER BY n DESC, element LIMIT 20",
     ),
     "agg24_label_counts": (lambda s, d: reports.value_counts(table(s, d, _LOG), "label_final"), f"SELECT label_final AS value, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM {_LOG}), 2) AS pct FROM {_LOG} GROUP BY label_final"),
-    "agg19_costs": (
-        lambda s, d: reports.cost_report(table(s, d, _LOG)),
-        f"""SELECT CASE WHEN grouping(model) = 1 THEN 'TOTAL' ELSE model END AS model, count(*) AS n_calls, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens,
-        CAST(sum(retry_count) AS BIGINT) AS retries, count(*) FILTER (label = 'error') AS n_errors, round(sum(coalesce(input_tokens, 0)) / 1e6 * 3.0 + sum(coalesce(output_tokens, 0)) / 1e6 * 15.0, 6) AS cost_usd,
-        round((sum(coalesce(input_tokens, 0)) / 1e6 * 3.0 + sum(coalesce(output_tokens, 0)) / 1e6 * 15.0) / count(*) * 1000, 6) AS cost_per_1k, count(DISTINCT run_id) AS n_runs, min(timestamp) AS first_seen, max(timestamp) AS last_seen,
-        CAST(epoch(max(timestamp)::TIMESTAMPTZ) - epoch(min(timestamp)::TIMESTAMPTZ) AS BIGINT) AS duration_s FROM (SELECT *, coalesce(model_id, '') AS model FROM {_LOG}) GROUP BY ROLLUP (model)""",
+    "agg19_costs": (lambda s, d: reports.cost_report(table(s, d, _LOG)), COSTS_SQL),
+    "agg21_runtime": (
+        lambda s, d: reports.runtime_summary(reports.cost_report(table(s, d, _LOG)), "AND"),
+        f"""WITH c AS ({COSTS_SQL}) SELECT 'AND' AS task, 'C5 (LLM verify -- API call span)' AS stage, duration_s::DOUBLE AS duration_sec, duration_s / 60 AS duration_min, n_with_usage AS n_pairs,
+        duration_s * 1000 / n_with_usage AS sec_per_1k_pairs, n_with_usage > 0 AS data_available FROM c WHERE model = 'TOTAL'
+        UNION ALL SELECT 'all', unnest(['C4 (blocking/candidate generation)', 'C6 (guard application)', 'C7 (clustering/union-find)']), NULL, NULL, NULL, NULL, false""",
     ),
     "agg22_score_summary": (
         lambda s, d: reports.score_summary(table(s, d, "candidates_and"), "best_pass_id", "similarity_score"),

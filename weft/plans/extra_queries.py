@@ -110,9 +110,11 @@ x AS (SELECT system, 'f1_optimal' AS method, gold, CASE WHEN s >= t_f1 THEN 'mat
 
 
 def cluster_diagnostics(spark, sf_dir):
+    """Clusters, their sizes, and conflict edges per member."""
     found, members = mq._conflicts(spark, sf_dir)
-    bad = found.select("entity_id").distinct().agg(F.count(F.lit(1)).alias("in_conflict"))
-    return graph.cluster_sizes(members).withColumn("in_conflict", bad.scalar()).select("num_clusters", "num_singletons", "in_conflict", F.round(F.try_divide("in_conflict", "num_clusters"), 9).alias("conflict_rate"))
+    edges = found.agg(F.count(F.lit(1)).alias("conflict_count"))
+    out = graph.cluster_sizes(members).withColumn("conflict_count", edges.scalar())
+    return out.select("num_clusters", "num_singletons", (F.col("num_clusters") - F.col("num_singletons")).alias("num_multi"), "largest", "members", "conflict_count", F.round(F.try_divide("conflict_count", "members"), 9).alias("conflict_rate"))
 
 
 def normalisation_log(spark, sf_dir):
@@ -155,7 +157,7 @@ def affiliation_packets(spark, sf_dir):
     s = labelling.ain_signals(packets)
     return s.select(
         "anchor_id", "candidate_id", "anchor_affil_norm", "candidate_affil_norm", "anchor_affil_acronyms", F.round("affil_str_sim", 4).alias("affil_str_sim"),
-        F.round("token_jaccard", 4).alias("token_jaccard"), "acronym_overlap", labelling.ain_label().alias("label"), labelling.autofill_ain(F.col("anchor_linked_authors_fallback") == "true")["rule"].alias("rule"),
+        F.round("token_jaccard", 4).alias("token_jaccard"), "acronym_overlap", labelling.ain_label().alias("label"), labelling.autofill_ain(labelling.fallback(F.col("anchor_linked_authors_fallback")))["rule"].alias("rule"),
     )
 
 
@@ -202,7 +204,7 @@ QUERIES = {
     "jn17_diagnostics": (diagnostics, _DIAG),
     "flt09_disagreements": (
         lambda s, d: joins.disagreements(diagnostics(s, d)).select("anchor_id", "candidate_id", "kind"),
-        f"SELECT anchor_id, candidate_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY anchor_id, candidate_id) AS k FROM (SELECT *, CASE WHEN gold_label = 'match' AND routed = 'non-match' THEN 'missed' WHEN gold_label = 'non-match' AND routed = 'match' THEN 'wrong' WHEN decided IN ('match', 'non-match') AND routed = 'uncertain' THEN 'held_back' END AS kind FROM ({_DIAG})) WHERE kind IS NOT NULL) WHERE k <= 20",
+        f"SELECT anchor_id, candidate_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY anchor_id, candidate_id) AS k FROM (SELECT *, CASE WHEN gold_label = 'uncertain' AND routed IN ('match', 'non-match') THEN 'gold_uncertain_but_decided' WHEN gold_label = 'match' AND routed IS DISTINCT FROM 'match' THEN 'gold_match_missed' WHEN gold_label = 'non-match' AND routed IS DISTINCT FROM 'non-match' THEN 'gold_nonmatch_missed' END AS kind FROM ({_DIAG})) WHERE kind IS NOT NULL) WHERE k <= 20",
     ),
     "jn21_label_lookup": (label_lookup, f"WITH {mq._BENCH} SELECT r.anchor_id, r.candidate_id, timestamp, run_id, gold_label FROM {_LOG} r JOIN bench b ON b.anchor_id = r.anchor_id AND b.candidate_id = r.candidate_id"),
     "set02_shared_splits": (shared_splits, f"WITH {mq._BENCH} SELECT anchor_id, candidate_id FROM bench WHERE split = 'dev' INTERSECT SELECT anchor_id, candidate_id FROM bench WHERE split = 'test'"),
@@ -211,7 +213,7 @@ QUERIES = {
     "rul08_all_methods": (all_methods, ALL_METHODS_SQL),
     "agg20_cluster_diagnostics": (
         cluster_diagnostics,
-        mq._REACH + ", " + mq._CONF + ", z AS (SELECT entity_id, count(*) AS n FROM mem GROUP BY entity_id) SELECT count(*) AS num_clusters, count(*) FILTER (n = 1) AS num_singletons, (SELECT count(DISTINCT entity_id) FROM conf) AS in_conflict, round((SELECT count(DISTINCT entity_id) FROM conf) / count(*), 9) AS conflict_rate FROM z",
+        mq._REACH + ", " + mq._CONF + ", z AS (SELECT entity_id, count(*) AS n FROM mem GROUP BY entity_id) SELECT count(*) AS num_clusters, count(*) FILTER (n = 1) AS num_singletons, count(*) FILTER (n > 1) AS num_multi, max(n) AS largest, CAST(sum(n) AS BIGINT) AS members, (SELECT count(*) FROM conf) AS conflict_count, round((SELECT count(*) FROM conf) / sum(n), 9) AS conflict_rate FROM z",
     ),
     "snk05_normalisation_log": (normalisation_log, NORMALISATION_SQL),
     "jsn08_parsed_replies": (parsed_replies, PARSED_SQL),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import similarity as sim
-from weft.operators import blocking, decisions, graph, guards, mentions
+from weft.operators import blocking, decisions, graph, guards, mentions, metrics
 from weft.plans.runtime import table
-from weft.plans.text_queries import JACCARD, LIST, SIDES, SP, WORDS, _ACRONYM_SQL, distinct_list
+from weft.plans.text_queries import JACCARD, LIST, NORMALISED, SIDES, SP, TOKENS, WORDS, _ACRONYM_SQL, distinct_list
 
 # ---------------------------------------------------------------- mentions
 
@@ -30,10 +30,10 @@ def author_mentions(spark, sf_dir):
 
 
 _AFFIL_CTE = f"""
-ab AS (SELECT record_id, coalesce("EID", '') AS eid, query_frame, year_int, {LIST('"Affiliations"', ';')} AS raws, {LIST('affiliations_norm', ';')} AS norms FROM records_normalised),
+ab AS (SELECT record_id, coalesce("EID", '') AS eid, query_frame, year_int, {LIST('"Affiliations"', ';')} AS raws FROM records_normalised),
 ae AS (SELECT *, unnest(range(len(raws))) AS pos FROM ab),
 am AS (SELECT sha256(eid || '|' || pos || '|' || raws[pos + 1]) AS id, record_id, eid, query_frame, year_int, CAST(pos AS INTEGER) AS affil_pos, raws[pos + 1] AS affil_raw,
-       coalesce(norms[pos + 1], lower(raws[pos + 1])) AS affil_norm FROM ae),
+       {NORMALISED('raws[pos + 1]')} AS affil_norm FROM ae),
 ai AS (SELECT *, {distinct_list(_ACRONYM_SQL.replace('"Affiliations"', 'affil_raw'))} AS acronyms, array_to_string({WORDS('affil_norm')}[1:3], ' ') AS tok3, left(affil_norm, 12) AS pre12 FROM am)"""
 
 AFFIL_MENTIONS_SQL = f"""WITH {_AFFIL_CTE}
@@ -117,6 +117,28 @@ SELECT anchor_id, candidate_id, ps AS best_pass_id, bk AS best_block_key, CAST(p
 FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, candidate_id ORDER BY pr, kp, bk) AS k FROM u) WHERE k = 1"""
 
 
+def affiliation_candidates(spark, sf_dir):
+    """The full candidate table of affiliations: the best 50 per anchor by the whole score."""
+    m = mentions.affiliation_mentions(table(spark, sf_dir, "records_normalised"))
+    return blocking.affiliation_candidates(m, sim.ain_score("a_", "c_")).withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+def affiliation_topk(spark, sf_dir):
+    """The best 50 per anchor by the native part of the score."""
+    m = mentions.affiliation_mentions(table(spark, sf_dir, "records_normalised"))
+    ranked = blocking.affiliation_candidates(m, sim.ain_context_score("a_", "c_"))
+    return ranked.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.round("similarity_score", 6).alias("similarity_score"), "rank", "query_frame_anchor", "query_frame_candidate")
+
+
+AFFIL_TOPK_SQL = f"""{AFFIL_PAIRS_SQL.replace("SELECT anchor_id, candidate_id, ps AS", ", pairs AS (SELECT anchor_id, candidate_id, ps AS", 1)}),
+one AS (SELECT id, affil_norm, acronyms, query_frame FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_frame NULLS FIRST, year_int NULLS FIRST, record_id NULLS FIRST) AS k FROM ai) WHERE k = 1),
+s AS (SELECT pairs.*, 0.35::DOUBLE * ({JACCARD(TOKENS('a.affil_norm'), TOKENS('c.affil_norm'))}) + 0.15::DOUBLE * CASE WHEN len(list_intersect(a.acronyms, c.acronyms)) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score,
+      coalesce(a.query_frame, '') AS query_frame_anchor, coalesce(c.query_frame, '') AS query_frame_candidate
+      FROM pairs JOIN one a ON a.id = anchor_id JOIN one c ON c.id = candidate_id)
+SELECT anchor_id, candidate_id, best_pass_id, best_block_key, pass_priority, round(score, 6) AS similarity_score, CAST(rank AS INTEGER) AS rank, query_frame_anchor, query_frame_candidate
+FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY pass_priority, score DESC, candidate_id) AS rank FROM s) WHERE rank <= 50"""
+
+
 def block_sizes(spark, sf_dir):
     c = table(spark, sf_dir, "candidates_and").select(F.col("best_pass_id").alias("pass_id"), F.col("best_block_key").alias("block_key"))
     return blocking.block_sizes(c)
@@ -172,13 +194,24 @@ def routed(spark, sf_dir):
     return guards.route(log, "AND").drop("evidence_used")
 
 
-def _fired(expr="coalesce(evidence_used, [])"):
+def _fired(expr="coalesce(evidence_used, [])", task="AND"):
     cases = []
-    for category, keywords in sorted(guards.SIGNALS["AND"].items()):
+    for category, keywords in sorted(guards.SIGNALS[task].items()):
         cases.append(f"CASE WHEN len(list_filter({expr}, lambda x: regexp_matches(lower(x), '{'|'.join(sorted(keywords))}'))) > 0 THEN '{category}' END")
     return f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
 
 
+def routed_ain(spark, sf_dir):
+    """Routing under the affiliation task's evidence kinds; a doubled item of evidence shows them."""
+    log = table(spark, sf_dir, _LOG).select("run_id", "anchor_id", "candidate_id", "timestamp", "label", "confidence", _AIN_EVIDENCE.alias("evidence_used"), "retry_count")
+    return guards.route(log, "AIN").drop("evidence_used")
+
+
+#: The log is of authors: its evidence is renamed to that of affiliations, kind by kind.
+_RENAMED = {"name": "affil_string", "coauthor": "linked_authors", "affil": "Acronym"}
+_AIN_EVIDENCE = F.transform("evidence_used", lambda x: F.when(F.lower(x).contains("name"), _RENAMED["name"]).when(F.lower(x).contains("coauthor"), _RENAMED["coauthor"]).when(F.lower(x).contains("affil"), _RENAMED["affil"]).otherwise(x))
+_AIN_EVIDENCE_SQL = "list_transform(coalesce(evidence_used, []), lambda y: CASE WHEN contains(lower(y), 'name') THEN 'affil_string' WHEN contains(lower(y), 'coauthor') THEN 'linked_authors' WHEN contains(lower(y), 'affil') THEN 'Acronym' ELSE y END)"
+
 ROUTED_SQL = f"""WITH f AS (SELECT run_id, anchor_id, candidate_id, timestamp, label, confidence, retry_count, {_fired()} AS fired FROM {_LOG}),
 g AS (SELECT *, len(fired) AS n, label = 'non-match' AND confidence >= 0.85 AS no, label = 'match' AND confidence >= 0.85 AS yes FROM f),
 h AS (SELECT *, CASE WHEN label = 'error' THEN 'uncertain' WHEN no THEN 'non-match' WHEN yes AND n >= 2 THEN 'match' ELSE 'uncertain' END AS label_final FROM g)
@@ -187,6 +220,8 @@ SELECT run_id, anchor_id, candidate_id, timestamp, label, confidence, retry_coun
   CAST(CASE WHEN label = 'error' THEN 0 ELSE n END AS INTEGER) AS signals_count, CASE WHEN label = 'error' THEN '' ELSE array_to_string(fired, '|') END AS fired_categories,
   label_final = 'uncertain' AS routed_to_human FROM h"""
 
+ROUTED_AIN_SQL = ROUTED_SQL.replace(_fired(), _fired(_AIN_EVIDENCE_SQL, "AIN"))
+
 _C6 = [round(0.99 - i * 0.01, 10) for i in range(50)]
 
 
@@ -234,15 +269,28 @@ SELECT p.anchor_id, p.candidate_id, CASE WHEN ok THEN 'skip' WHEN coalesce(bad,
 FROM p LEFT JOIN s ON s.anchor_id = p.anchor_id AND s.candidate_id = p.candidate_id"""
 
 
-def error_classes(spark, sf_dir):
-    log = table(spark, sf_dir, _LOG).filter("label = 'error'")
-    return log.groupBy(decisions.error_classes(F.col("error")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+_STATUSES = "[NULL, 400, 401, 402, 403, 404, 429, 500]"
 
 
-ERRORS_SQL = f"""SELECT CASE WHEN m LIKE '%empty_response_content%' OR m LIKE '%list index out of range%' THEN 'INVALID_RESPONSE' WHEN m LIKE '%auth%' OR m LIKE '%api key%' THEN 'AUTH'
+def error_classes(spark, sf_dir):
+    """Classes of the log's error texts, each alone and under several HTTP statuses, and of a billing text."""
+    log = table(spark, sf_dir, _LOG).filter("label = 'error'").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+    texts = log.unionByName(log.agg(F.lit("usage limit, add credit").alias("error"), F.lit(0).cast("bigint").alias("n")))
+    statuses = F.array(*(F.lit(x).cast("int") for x in (None, 400, 401, 402, 403, 404, 429, 500)))
+    rows = texts.select("error", "n", F.explode(statuses).alias("status"))
+    return rows.groupBy("status", decisions.error_classes(F.col("error"), F.col("status")).alias("class")).agg(F.sum("n").alias("n"))
+
+
+ERRORS_SQL = f"""WITH e AS (SELECT error, count(*) AS n FROM {_LOG} WHERE label = 'error' GROUP BY error UNION ALL SELECT 'usage limit, add credit', 0),
+x AS (SELECT lower(coalesce(error, '')) AS m, n, unnest({_STATUSES}) AS status FROM e),
+c AS (SELECT n, CAST(status AS INTEGER) AS status, CASE
+ WHEN status = 401 THEN 'AUTH' WHEN status = 403 THEN 'PERMISSION' WHEN status = 429 THEN 'RATE_LIMIT' WHEN status = 404 THEN 'MODEL_NOT_FOUND' WHEN status = 402 THEN 'BILLING'
+ WHEN status = 400 THEN CASE WHEN m LIKE '%usage%' AND m LIKE '%limit%' THEN 'BILLING' ELSE 'INVALID_REQUEST' END
+ WHEN status IS NOT NULL THEN CASE WHEN m LIKE '%billing%' OR m LIKE '%credit%' THEN 'BILLING' ELSE 'UNKNOWN' END
+ WHEN m LIKE '%empty_response_content%' OR m LIKE '%list index out of range%' THEN 'INVALID_RESPONSE' WHEN m LIKE '%auth%' OR m LIKE '%api key%' THEN 'AUTH'
  WHEN m LIKE '%billing%' OR m LIKE '%credit%' OR (m LIKE '%usage%' AND m LIKE '%limit%') THEN 'BILLING' WHEN m LIKE '%rate%' OR m LIKE '%429%' THEN 'RATE_LIMIT'
- WHEN m LIKE '%connect%' OR m LIKE '%timeout%' OR m LIKE '%network%' THEN 'NETWORK' ELSE 'UNKNOWN' END AS class, count(*) AS n
-FROM (SELECT lower(coalesce(error, '')) AS m FROM {_LOG} WHERE label = 'error') GROUP BY ALL"""
+ WHEN m LIKE '%connect%' OR m LIKE '%timeout%' OR m LIKE '%network%' THEN 'NETWORK' ELSE 'UNKNOWN' END AS class FROM x)
+SELECT status, class, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY status, class"""
 
 
 def stub(spark, sf_dir):
@@ -285,20 +333,51 @@ COMPARATOR_SQL = f"""WITH {_BENCH}, c AS (SELECT anchor_id, candidate_id, best_p
 SELECT b.anchor_id, b.candidate_id, gold_label, split, coalesce(best_pass_id = 'pass1_author_id', false) AS same_id FROM bench b LEFT JOIN c ON c.anchor_id = b.anchor_id AND c.candidate_id = b.candidate_id"""
 
 
-def k_sensitivity(spark, sf_dir):
-    """Share of benchmark pairs, and of match pairs, whose rank is at most K."""
+K_VALUES = (1, 5, 10, 20, 50)
+
+
+def _at_k(spark, sf_dir):
+    """Benchmark pairs at each K with whether they are among the K best of their anchor, and the final label,
+    which is uncertain beyond K."""
     r = ranked_candidates(spark, sf_dir)
-    j = benchmark(spark, sf_dir).join(r, ["anchor_id", "candidate_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(2**31 - 1)))
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("rank") <= k).alias("hit")) for k in (1, 5, 10, 20, 50)))
-    x = j.select("gold_label", F.explode(cells).alias("c")).select("gold_label", "c.*")
-    return x.groupBy("k").agg(
+    final = decisions.last_decision(table(spark, sf_dir, _LOG), [*_ORDER, "retry_count", "label_final"], ["label_final"])
+    j = benchmark(spark, sf_dir).join(r, ["anchor_id", "candidate_id"], "left").join(final, ["anchor_id", "candidate_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(2**31 - 1)))
+    label = guards.three_class(F.lower(F.trim("label_final")))
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("rank") <= k).alias("hit"), F.when(F.col("rank") <= k, label).otherwise("uncertain").alias("predicted")) for k in K_VALUES))
+    gold = F.when(F.col("gold_label").isin("match", "non-match"), F.col("gold_label")).otherwise("uncertain")
+    return j.select("anchor_id", "candidate_id", "gold_label", gold.alias("gold"), F.explode(cells).alias("c")).select("anchor_id", "candidate_id", "gold_label", "gold", "c.*")
+
+
+def k_sensitivity(spark, sf_dir):
+    """Blocking recall at K of all benchmark pairs and of match pairs, and the metrics at K."""
+    x = _at_k(spark, sf_dir)
+    hits = x.groupBy("k").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.count_if("hit").alias("n_hit"), F.count_if(F.col("gold_label") == "match").alias("n_match"), F.count_if(F.col("hit") & (F.col("gold_label") == "match")).alias("n_match_hit")
     )
+    suite = metrics.metric_suite(x, "gold", "predicted", ["k"]).select("k", "tp", "fp", *(F.round(c, 9).alias(c) for c in ("precision_match", "recall_match", "f1_match", "coverage")))
+    return hits.join(suite, "k").withColumns({"recall_all": F.round(F.try_divide("n_hit", "n_pairs"), 9), "recall_of_match": F.round(F.try_divide("n_match_hit", "n_match"), 9)})
+
+
+def k_intervals(spark, sf_dir):
+    """Bootstrap intervals of the metrics at each K."""
+    x = _at_k(spark, sf_dir)
+    out = None
+    for k in K_VALUES:
+        one = metrics.bootstrap(x.filter(F.col("k") == k), "gold", "predicted", ["anchor_id", "candidate_id"]).withColumn("k", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-K_SQL = f"""WITH {_BENCH}, r AS ({RANKED_SQL.strip()}), k AS (SELECT unnest([1, 5, 10, 20, 50]) AS k)
-SELECT CAST(k AS INTEGER) AS k, count(*) AS n_pairs, count(*) FILTER (rank <= k) AS n_hit, count(*) FILTER (gold_label = 'match') AS n_match, count(*) FILTER (rank <= k AND gold_label = 'match') AS n_match_hit
-FROM k, bench b LEFT JOIN r ON r.anchor_id = b.anchor_id AND r.candidate_id = b.candidate_id GROUP BY k"""
+K_SQL = f"""WITH {_BENCH}, r AS ({RANKED_SQL.strip()}), k AS (SELECT unnest([1, 5, 10, 20, 50]) AS k),
+fl AS (SELECT anchor_id, candidate_id, lower(trim(label_final)) AS f FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id, candidate_id ORDER BY {_RANK}, label_final DESC NULLS LAST) AS k FROM {_LOG}) WHERE k = 1),
+x AS (SELECT k, gold_label AS g, rank <= k AS hit, CASE WHEN rank <= k AND f IN ('match', 'non-match') THEN f ELSE 'uncertain' END AS p
+      FROM k, bench b LEFT JOIN r ON r.anchor_id = b.anchor_id AND r.candidate_id = b.candidate_id LEFT JOIN fl ON fl.anchor_id = b.anchor_id AND fl.candidate_id = b.candidate_id),
+c AS (SELECT k, count(*) AS n_pairs, count(*) FILTER (hit) AS n_hit, count(*) FILTER (g = 'match') AS n_match, count(*) FILTER (hit AND g = 'match') AS n_match_hit,
+      count(*) FILTER (p = 'match' AND g = 'match') AS tp, count(*) FILTER (p = 'match' AND g = 'non-match') AS fp,
+      count(*) FILTER (g IN ('match', 'non-match')) AS n_bin, count(*) FILTER (p IN ('match', 'non-match')) AS n_auto FROM x GROUP BY k),
+q AS (SELECT *, CASE WHEN n_bin = 0 THEN NULL WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 1.0 END AS pm, CASE WHEN n_bin = 0 THEN NULL WHEN n_match > 0 THEN tp / n_match ELSE 0.0 END AS rm FROM c)
+SELECT CAST(k AS INTEGER) AS k, n_pairs, n_hit, n_match, n_match_hit, tp, fp, round(pm, 9) AS precision_match, round(rm, 9) AS recall_match,
+  round(CASE WHEN pm + rm > 0 THEN 2 * pm * rm / (pm + rm) WHEN pm IS NOT NULL THEN 0.0 END, 9) AS f1_match, round(n_auto / n_pairs, 9) AS coverage, round(n_hit / n_pairs, 9) AS recall_all, round(n_match_hit / n_match, 9) AS recall_of_match FROM q"""
 
 
 def anchor_frames(spark, sf_dir):
@@ -353,6 +432,8 @@ QUERIES = {
     "blocking_topk": (blocking_topk, BLOCKING_TOPK_SQL),
     "and_candidates": (author_candidates, None),
     "jn04_affiliation_pairs": (affiliation_pairs, AFFIL_PAIRS_SQL),
+    "ain_topk": (affiliation_topk, AFFIL_TOPK_SQL),
+    "ain_candidates": (affiliation_candidates, None),
     "agg06_block_sizes": (block_sizes, BLOCK_SIZES_SQL),
     "win01_ranks": (ranked_candidates, RANKED_SQL),
     "win03_keep_first": (
@@ -362,6 +443,7 @@ QUERIES = {
     "agg07_last_decision": (last_decision, LAST_SQL),
     "agg07_last_by_column": (last_by_column, LAST_BY_COLUMN_SQL),
     "rul01_routing": (routed, ROUTED_SQL),
+    "rul01_routing_ain": (routed_ain, ROUTED_AIN_SQL),
     "sel04_match_curve": (match_curve, MATCH_CURVE_SQL),
     "sel04_tuned_threshold": (tuned_threshold, TUNED_SQL),
     "flt10_still_open": (still_open, OPEN_SQL),
@@ -371,6 +453,7 @@ QUERIES = {
     "jn10_decisions_gold": (decisions_gold, GOLD_SQL),
     "jn14_id_comparator": (id_comparator, COMPARATOR_SQL),
     "agg16_k_sensitivity": (k_sensitivity, K_SQL),
+    "agg16_k_intervals": (k_intervals, None),
     "jn18_anchor_frames": (anchor_frames, FRAMES_SQL),
     "flt07_unknown_ids": (unknown_ids, UNKNOWN_SQL),
     "grf02_entities": (entities, _REACH + " SELECT entity_id, node_id FROM mem"),

@@ -54,7 +54,7 @@ def decision_log(spark, sf_dir):
 
 
 DECISION_LOG_SQL = f"""SELECT run_id, anchor_id, candidate_id, label, CASE WHEN label = 'error' THEN 0.0 ELSE confidence END AS confidence, CAST(CASE WHEN label = 'error' THEN 0 ELSE coalesce(len(evidence_used), 0) END AS INTEGER) AS n_evidence,
-CASE WHEN label <> 'error' THEN reason_code END AS reason_code, CASE WHEN label <> 'error' THEN abstention_reason END AS abstention_reason, error, retry_count, input_tokens, output_tokens, timestamp FROM {_LOG}"""
+coalesce(CASE WHEN label <> 'error' THEN reason_code END, error, '') AS reason_code, CASE WHEN label <> 'error' THEN abstention_reason END AS abstention_reason, error, retry_count, input_tokens, output_tokens, timestamp FROM {_LOG}"""
 
 
 def token_usage(spark, sf_dir):

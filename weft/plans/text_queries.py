@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from weft.functions import similarity as sim
@@ -39,6 +42,25 @@ def SAFE(x):
     return f"CASE WHEN {x} IS NULL OR lower({STRIP(x)}) IN ('nan', 'none') THEN '' ELSE {x} END"
 
 
+#: Full-width forms and mathematical letters with the single letters they stand for, and ligatures.
+_ODD = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0xFB00, 0xFB07))]
+_WIDE, _NARROW = ("".join(x[i] for x in _ODD if len(x[1]) == 1 and x[0] != x[1]).replace("'", "''") for i in (0, 1))
+_LIGATURES = [x for x in _ODD if len(x[1]) > 1]
+
+
+def NORMALISED(x, collapse=True):
+    """Compatibility form (of full-width forms and spaces, all that the tables have), lower case, single
+    spaces, with ``collapse`` single ASCII punctuation marks."""
+    out = f"translate(coalesce({x}, ''), '{_WIDE}', '{_NARROW}')"
+    for ligature, letters in _LIGATURES:
+        out = f"replace({out}, '{ligature}', '{letters}')"
+    out = STRIP(f"regexp_replace(lower(nfc_normalize({out})), '{SP}+', ' ', 'g')")
+    for mark in string.punctuation.replace("_", "") if collapse else "":
+        quoted = "''" if mark == "'" else mark
+        out = f"regexp_replace({out}, '[{chr(92) if mark in '^]' + chr(92) else ''}{quoted}]{{2,}}', '{chr(92) * 2 if mark == chr(92) else quoted}', 'g')"
+    return out
+
+
 def distinct_list(x):
     """In first-seen order."""
     return f"list_transform(list_filter(list_transform({x}, lambda x, i: {{'x': x, 'i': i}}), lambda s: list_position({x}, s.x) = s.i), lambda s: s.x)"
@@ -158,7 +180,10 @@ QUERIES = {
             f"array_to_string({distinct_list('list_filter(' + TOKENS('lower(affiliations_norm)') + ', lambda x: length(x) >= 2)')}, '|') AS token_set",
         ),
     ),
-    "str12_label_text": (_records(lambda: text.normalise_label_text(F.col("affiliations_norm")).alias("affiliations")), None),
+    "str12_label_text": (
+        _records(lambda: text.normalise_label_text(F.col("affiliations_norm")).alias("affiliations")),
+        _records_sql("CASE WHEN " + NORMALISED("affiliations_norm", False) + " IN ('nan', 'none') THEN '' ELSE " + NORMALISED("affiliations_norm", False) + " END AS affiliations"),
+    ),
     "str13_safe": (
         _records(lambda: text.safe_text(F.col("Source title")).alias("safe"), lambda: text.compare_name(F.col("Author full names")).alias("compare")),
         _records_sql(SAFE('"Source title"') + " AS safe", f"regexp_replace(lower({STRIP_ID('(' + SAFE('\"Author full names\"') + ')')}), '{SP}+', ' ', 'g') AS compare"),
@@ -172,8 +197,8 @@ QUERIES = {
     ),
     "str17_surname": (
         lambda spark, d: table(spark, d, "author_instances").select("author_instance_id", text.surname_initial(F.col("author_norm")).alias("s")).select("author_instance_id", "s.surname", "s.initial"),
-        f"""WITH t AS (SELECT author_instance_id, regexp_split_to_array({STRIP("replace(coalesce(author_norm, ''), ',', ' ')")}, '{SP}+') AS w FROM author_instances)
-        SELECT author_instance_id, CASE WHEN len(w) >= 2 THEN w[1] ELSE '' END AS surname, CASE WHEN len(w) >= 2 THEN left(w[-1], 1) ELSE '' END AS initial FROM t""",
+        f"""WITH t AS (SELECT author_instance_id, {WORDS("lower(" + STRIP_ID("(" + SAFE("author_norm") + ")") + ")")} AS w FROM author_instances)
+        SELECT author_instance_id, CASE WHEN len(w) >= 2 THEN w[-1] ELSE '' END AS surname, CASE WHEN len(w) >= 2 THEN left(w[1], 1) ELSE '' END AS initial FROM t""",
     ),
     "str18_truncate": (
         _records(
@@ -190,13 +215,13 @@ QUERIES = {
     ),
     "str23_labels": (
         lambda spark, d: table(spark, d, "routing_log_and").select(
-            "run_id", "anchor_id", "candidate_id", "timestamp", text.label_class(F.col("label_final")).alias("label"), text.split_class(F.col("reason_code")).alias("split"),
+            "run_id", "anchor_id", "candidate_id", "timestamp", text.label_class(F.col("label_final")).alias("label"), text.split_class(F.when(F.col("retry_count") == 0, " Dev").when(F.col("retry_count") == 1, "TEST ").otherwise(F.col("reason_code"))).alias("split"),
             text.label_code(F.col("retry_count").cast("string")).alias("code"), text.pretty(F.col("reason_code")).alias("pretty"), text.tex_escape(F.col("reason_code")).alias("tex"),
         ),
         f"""SELECT run_id, anchor_id, candidate_id, timestamp,
         CASE WHEN k IN ('match', 'same', 'positive', 'yes', '1') THEN 'match' WHEN k IN ('non-match', 'nonmatch', 'different', 'negative', 'no', '0') THEN 'non-match'
              WHEN k IN ('uncertain', 'unsure', 'skip', 'abstain') THEN 'uncertain' ELSE '' END AS label,
-        '' AS split, CASE WHEN retry_count IN (0, 1, 2) THEN CAST(retry_count AS VARCHAR) END AS code,
+        CASE retry_count WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE '' END AS split, CASE WHEN retry_count IN (0, 1, 2) THEN CAST(retry_count AS VARCHAR) END AS code,
         array_to_string(list_transform(string_split(replace(reason_code, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS pretty, replace(reason_code, '_', '\\_') AS tex
         FROM (SELECT *, lower({STRIP("coalesce(label_final, '')")}) AS k FROM routing_log_and)""",
     ),
