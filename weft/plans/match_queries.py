@@ -203,13 +203,18 @@ def _fired(expr="coalesce(evidence_used, [])", task="AND"):
 
 def routed_ain(spark, sf_dir):
     """Routing under the affiliation task's evidence kinds; a doubled item of evidence shows them."""
-    log = table(spark, sf_dir, _LOG).select("run_id", "anchor_id", "candidate_id", "timestamp", "label", "confidence", _AIN_EVIDENCE.alias("evidence_used"), "retry_count")
+    log = table(spark, sf_dir, _LOG).select("run_id", "anchor_id", "candidate_id", "timestamp", "label", "confidence", _ain_evidence().alias("evidence_used"), "retry_count")
     return guards.route(log, "AIN").drop("evidence_used")
 
 
 #: The log is of authors: its evidence is renamed to that of affiliations, kind by kind.
 _RENAMED = {"name": "affil_string", "coauthor": "linked_authors", "affil": "Acronym"}
-_AIN_EVIDENCE = F.transform("evidence_used", lambda x: F.when(F.lower(x).contains("name"), _RENAMED["name"]).when(F.lower(x).contains("coauthor"), _RENAMED["coauthor"]).when(F.lower(x).contains("affil"), _RENAMED["affil"]).otherwise(x))
+
+
+def _ain_evidence():
+    return F.transform("evidence_used", lambda x: F.when(F.lower(x).contains("name"), _RENAMED["name"]).when(F.lower(x).contains("coauthor"), _RENAMED["coauthor"]).when(F.lower(x).contains("affil"), _RENAMED["affil"]).otherwise(x))
+
+
 _AIN_EVIDENCE_SQL = "list_transform(coalesce(evidence_used, []), lambda y: CASE WHEN contains(lower(y), 'name') THEN 'affil_string' WHEN contains(lower(y), 'coauthor') THEN 'linked_authors' WHEN contains(lower(y), 'affil') THEN 'Acronym' ELSE y END)"
 
 ROUTED_SQL = f"""WITH f AS (SELECT run_id, anchor_id, candidate_id, timestamp, label, confidence, retry_count, {_fired()} AS fired FROM {_LOG}),
