@@ -25,9 +25,9 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("key", F.lit(1)).withColumn("line", F.lit("x")).withColumn("word", F.lit("y"))
 
 
-@pytest.mark.parametrize("limit", [0, langid.BROADCAST_BYTES])
+@pytest.mark.parametrize("limit", [0, 5, langid.FREQUENT_WORDS])
 def test_lines(spark, docs, limit):
-    got = {(r.doc_id, r.seg_no): r for r in langid.languages(docs, "doc_id", "text", "lang", broadcast_bytes=limit).collect()}
+    got = {(r.doc_id, r.seg_no): r for r in langid.languages(docs, "doc_id", "text", "lang", frequent_words=limit).collect()}
     for k, code in enumerate(("en", "fr", "de")):
         assert all(got[k * 100 + i, j].language == code for i in range(40) for j in range(3))
     assert not any(d in (900, 901, 902) for d, _ in got)

@@ -27,11 +27,11 @@ def reference():
     return {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(TEXTS)}
 
 
-@pytest.mark.parametrize("limit", [0, tokenizer.BROADCAST_BYTES], ids=["shuffled", "broadcast"])
+@pytest.mark.parametrize("limit", [0, 3, tokenizer.FREQUENT_WORDS], ids=["all rare", "some rare", "all frequent"])
 def test_encode_and_decode(spark, docs, limit):
-    encoded = tokenizer.encode(docs, "doc_id", "text", broadcast_bytes=limit).cache()
+    encoded = tokenizer.encode(docs, "doc_id", "text", frequent_words=limit).cache()
     assert {r.doc_id: list(r.ids) for r in encoded.collect()} == reference()
-    assert {r.doc_id: r.n_tokens for r in tokenizer.sizes(docs, "doc_id", "text", broadcast_bytes=limit).collect()} == {k: len(v) for k, v in reference().items()}
+    assert {r.doc_id: r.n_tokens for r in tokenizer.sizes(docs, "doc_id", "text", frequent_words=limit).collect()} == {k: len(v) for k, v in reference().items()}
     assert {r.doc_id: r.text for r in tokenizer.decode(encoded, "doc_id", "ids").collect()} == {i: x or "" for i, x in enumerate(TEXTS)}
 
 

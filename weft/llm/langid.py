@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary.  The score of a word is
 the sum over all its segmentations into pieces of the product of their probabilities, by the forward
 algorithm; a line's score is the sum of its words' logarithms.  Pieces don't cross words, so each
-distinct word of the corpus is scored once and its seven numbers are joined back.
+distinct word of the corpus is scored once and its seven numbers are joined back: those of a bounded
+number of frequent words from a table that every task has, those of rare words through a shuffle.
 
 Piece probabilities are fitted by expectation-maximisation over the words of a bounded sample of
 labelled documents: about ``train_docs`` per language, chosen by a hash of the id.  Labels may be wrong
@@ -13,22 +14,26 @@ is their label.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.tokenizer import TOKENIZER_DIR
+from weft.llm.wordtable import FREQUENT_WORDS, split
 from weft.plans.runtime import Scratch
 
 LANGUAGES = ("ar", "de", "en", "es", "fr", "it", "pt")
 VOCABULARY = "piece_bpe_32k.model"
 TRAIN_DOCS = 400
-BROADCAST_BYTES = 64 << 20
 MIN_WORDS = 5
-_LONGEST = 16
+#: Longest piece in letters; longer ones of the vocabulary are left out, words of any length are scored.
+LONGEST_PIECE = 16
+#: Letters of a word that are fitted at once.
+FIT_LETTERS = 64
 _UNKNOWN = 1e-7
 _START = "▁"
 _BLANK = "\\t-\\r\\x1C-\\x20\\x85\\xA0   -     　"
@@ -40,7 +45,7 @@ def vocabulary(directory: str = TOKENIZER_DIR, name: str = VOCABULARY) -> frozen
 
     model = sentencepiece.SentencePieceProcessor(model_file=f"{directory}/{name}")
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))}
-    return frozenset(p for p in pieces if len(p) <= _LONGEST and (p == _START or p.removeprefix(_START).isalpha()))
+    return frozenset(p for p in pieces if len(p) <= LONGEST_PIECE and (p == _START or p.removeprefix(_START).isalpha()))
 
 
 class Unigrams:
@@ -53,7 +58,7 @@ class Unigrams:
         """(from, to, piece) of each piece in the marked word; single characters always have one."""
         text = _START + word
         for i in range(len(text)):
-            for j in range(i + 1, min(len(text), i + _LONGEST) + 1):
+            for j in range(i + 1, min(len(text), i + LONGEST_PIECE) + 1):
                 piece = text[i:j]
                 if piece in self.table or j == i + 1:
                     yield i, j, piece
@@ -68,8 +73,8 @@ class Unigrams:
             if i > done:
                 done = i
                 if i % 8 == 0:  # rescale all open positions
-                    top = np.maximum(alpha[i : min(n, i + _LONGEST) + 1].max(axis=0), 1e-300)
-                    alpha[i : i + _LONGEST + 1] /= top
+                    top = np.maximum(alpha[i : min(n, i + LONGEST_PIECE) + 1].max(axis=0), 1e-300)
+                    alpha[i : i + LONGEST_PIECE + 1] /= top
                     logs += np.log(top)
             alpha[j] += alpha[i] * self.table.get(piece, self.other)
         return logs + np.log(np.maximum(alpha[n], 1e-300))
@@ -78,14 +83,13 @@ class Unigrams:
 def fit(counts: list[tuple[str, str, int]], pieces: frozenset[str], rounds: int = 2, strength: float = 300.0) -> Unigrams:
     """Piece probabilities from (language, word, count) by expectation-maximisation.
 
-    Smoothed towards the mean over languages, so that a piece rare everywhere says little.  Runs of more
-    than 64 letters are no words to learn from.
+    Smoothed towards the mean over languages, so that a piece rare everywhere says little.
     """
     where = {c: k for k, c in enumerate(LANGUAGES)}
     words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
     for language, word, n in counts:
-        if len(word) <= 64:
-            words[word][where[language]] += n
+        for i in range(0, len(word), FIT_LETTERS):  # a run of any length is learned from, in parts that floats can hold
+            words[word[i : i + FIT_LETTERS]][where[language]] += n
     flat = np.full(len(LANGUAGES), 1.0)
     model = Unigrams({}, flat * 1e-4)
     found = {p for w in words for p in _pieces_of(w, pieces)}
@@ -117,7 +121,7 @@ def fit(counts: list[tuple[str, str, int]], pieces: frozenset[str], rounds: int
 def _pieces_of(word: str, pieces: frozenset[str]):
     text = _START + word
     for i in range(len(text)):
-        for j in range(i + 1, min(len(text), i + _LONGEST) + 1):
+        for j in range(i + 1, min(len(text), i + LONGEST_PIECE) + 1):
             if text[i:j] in pieces:
                 yield text[i:j]
 
@@ -133,35 +137,68 @@ def line_words(line):
     return F.regexp_extract_all(F.lower(line), F.lit(r"\p{L}[\p{L}\p{M}]*"), F.lit(0))
 
 
+def real_word(word: str) -> bool:
+    """Two or more letters, marks not counted."""
+    return len(word) > 1 and sum(not unicodedata.combining(c) and unicodedata.category(c)[0] != "M" for c in word) >= 2
+
+
 def _scorer(model):
-    def run(frames):
-        for pdf in frames:
-            scores = [model.forward(w).astype(np.float64) for w in pdf["word"]]
-            yield pd.DataFrame({"word": pdf["word"], "scores": scores})
+    def run(batches):
+        for batch in batches:
+            scores = [model.forward(w).tolist() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.list_(pa.float64()))], ["word", "n", "scores"])
 
     return run
 
 
-def _scored_lines(docs: DataFrame, model: Unigrams, scratch: Scratch, others: list[str], broadcast_bytes: int) -> DataFrame:
+def _summer(frequent: list):
+    """Batches of lines with ``words`` last to the same with n_words, the sum of the known words' scores, and
+    the words that aren't known."""
+    index = {r.word: i for i, r in enumerate(frequent)}
+    scores = np.array([r.scores for r in frequent] + [[0.0] * len(LANGUAGES)])
+    real = [real_word(r.word) for r in frequent]
+
+    def run(batches):
+        for batch in batches:
+            last = batch.num_columns - 1
+            counts, sums, gaps = [], [], []
+            for row in batch.column(last).to_pylist():
+                places = [index.get(w, -1) for w in row]
+                counts.append(sum(real[i] if i >= 0 else real_word(w) for i, w in zip(places, row)))
+                sums.append(scores[places].sum(axis=0) if places else np.zeros(len(LANGUAGES)))
+                gaps.append([w for i, w in zip(places, row) if i < 0])
+            table = np.array(sums).reshape(-1, len(LANGUAGES))
+            arrays = [*(batch.column(i) for i in range(last)), pa.array(counts, pa.int64()), *(pa.array(table[:, k]) for k in range(len(LANGUAGES))), pa.array(gaps, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:last], "n_words", *(f"s{k}" for k in range(len(LANGUAGES))), "gaps"])
+
+    return run
+
+
+def _scored_lines(docs: DataFrame, model: Unigrams, scratch: Scratch, others: list[str], frequent_words: int) -> DataFrame:
     """(key, others, seg_no, n_words, s0..s6); docs: key, text, others.  Spark broadcasts the model, whose
     size the vocabulary bounds, with the function."""
-    distinct = lines(docs, "key", "text").select(F.explode(line_words("line")).alias("word")).distinct()
-    table = scratch.keep(distinct.mapInPandas(_scorer(model), "word string, scores array<double>"))
-    size = table.agg(F.sum(F.octet_length("word") + 8 * len(LANGUAGES) + 48)).first()[0] or 0
-    spread = lines(docs.repartition("key"), "key", "text", *others).select("key", *others, "seg_no", F.explode_outer(line_words("line")).alias("word"))
-    joined = spread.join(F.broadcast(table) if size <= broadcast_bytes else table, "word", "left")
-    real = F.length(F.regexp_replace("word", r"\p{M}", "")) >= 2
-    return joined.groupBy("key", *others, "seg_no").agg(
-        F.count(F.when(real, 1)).alias("n_words"),
-        *(F.coalesce(F.sum(F.col("scores")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(len(LANGUAGES))),
-    )
+    scores = [f"s{k}" for k in range(len(LANGUAGES))]
+    counted = lines(docs, "key", "text").select(F.explode(line_words("line")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    frequent, rare = split(scratch.keep(counted.mapInArrow(_scorer(model), "word string, n bigint, scores array<double>")), frequent_words)
+    rows = lines(docs, "key", "text", *others).select("key", *others, "seg_no", line_words("line").alias("words"))
+    ids = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    found = scratch.keep(rows.mapInArrow(_summer(frequent), ", ".join([*ids, "n_words bigint", *(f"{c} double" for c in scores), "gaps array<string>"])))
+    gaps = found.select("key", "seg_no", F.explode("gaps").alias("word")).join(rare, "word")
+    filled = gaps.groupBy("key", "seg_no").agg(*(F.sum(F.col("scores")[k]).alias(f"r{k}") for k in range(len(LANGUAGES))))
+    joined = found.filter(F.size("gaps") > 0).join(filled, ["key", "seg_no"])
+    columns = ["key", *others, "seg_no", "n_words"]
+    return found.filter(F.size("gaps") == 0).select(*columns, *scores).unionByName(joined.select(*columns, *((F.col(c) + F.col(f"r{c[1:]}")).alias(c) for c in scores)))
 
 
 def _decided(df: DataFrame) -> DataFrame:
-    """Adds language and confidence (posterior under equal priors) from s0..s6."""
+    """Adds language and confidence from s0..s6 and n_words.
+
+    The confidence is the best language's posterior under equal priors, from the mean log-likelihood of a
+    word: words of a line aren't independent, so their sum would make every line look certain."""
     names = F.array(*(F.struct(F.col(f"s{k}").alias("s"), F.lit(c).alias("c")) for k, c in enumerate(LANGUAGES)))
     best = F.array_max(names)
-    total = sum((F.exp(F.col(f"s{k}") - best["s"]) for k in range(len(LANGUAGES))), F.lit(0.0))
+    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    total = sum((F.exp((F.col(f"s{k}") - best["s"]) / words) for k in range(len(LANGUAGES))), F.lit(0.0))
     return df.withColumn("language", best["c"]).withColumn("confidence", 1.0 / total)
 
 
@@ -183,11 +220,11 @@ def train(df: DataFrame, key: str, text: str, label: str, scratch: Scratch, trai
 
     all_lines = lines(sample, "key", "text", "label")
     rough = fit(counted(all_lines), pieces, rounds=1)
-    agreeing = _decided(_scored_lines(sample, rough, scratch, ["label"], BROADCAST_BYTES)).filter("language = label").select("key", "seg_no")
+    agreeing = _decided(_scored_lines(sample, rough, scratch, ["label"], FREQUENT_WORDS)).filter("language = label").select("key", "seg_no")
     return fit(counted(all_lines.join(agreeing, ["key", "seg_no"], "left_semi")), pieces)
 
 
-def languages(df: DataFrame, key: str, text: str, label: str, train_docs: int = TRAIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES, directory: str = TOKENIZER_DIR) -> DataFrame:
+def languages(df: DataFrame, key: str, text: str, label: str, train_docs: int = TRAIN_DOCS, frequent_words: int = FREQUENT_WORDS, directory: str = TOKENIZER_DIR) -> DataFrame:
     """(key, label, seg_no, n_words, language, confidence) of each line.
 
     n_words: words of two or more letters.  Null, empty and blank texts have no lines.  A line without
@@ -202,7 +239,7 @@ def languages(df: DataFrame, key: str, text: str, label: str, train_docs: int =
         bare = lines(docs, "key", "text", "label").select("key", "label", "seg_no", count.alias("n_words"), *(F.lit(0.0).alias(f"s{k}") for k in range(len(LANGUAGES))))
         none = bare.withColumns({"language": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
         return none.withColumnRenamed("key", key)
-    scored = _scored_lines(docs, model, scratch, ["label"], broadcast_bytes)
+    scored = _scored_lines(docs, model, scratch, ["label"], frequent_words)
     return _decided(scored).withColumnRenamed("key", key)
 
 

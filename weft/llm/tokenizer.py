@@ -2,9 +2,8 @@
 
 A byte-level BPE first splits text into words by a fixed pattern and never merges across words.  So the
 text is split in Spark (JVM regular expression), every distinct word is encoded once, and the ids are
-joined back by position.  Documents are hashed by id before the split, so that gathering a document's
-words needs no further shuffle when the word table is broadcast, which is done only below
-``broadcast_bytes``; beyond that the words are joined through a shuffle.
+joined back by position: those of frequent words, a bounded number, from a table that every task has,
+those of rare words through a shuffle.  One plan serves every size.
 
 Texts with characters that this JVM's Unicode tables don't know (where its classes could differ from
 the tokenizer's) are encoded whole in an Arrow function instead.
@@ -19,11 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weft.llm.wordtable import FREQUENT_WORDS, split
 from weft.plans.runtime import Scratch
 
 TOKENIZER_DIR = "/opt/tokenizers"
 RANKS_FILE = "byte_bpe_50k.tiktoken"
-BROADCAST_BYTES = 64 << 20
 
 _WHITE = r"\t-\r\x20\x85\xA0  -     　"
 #: The public split pattern, with white space spelled out because Java's \s is ASCII only.
@@ -46,7 +45,7 @@ def _encoder(directory: str, name: str):
         tokenizer = load(directory, name)
         for batch in batches:
             ids = [tokenizer.encode_ordinary(x) for x in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
 
     return run
 
@@ -57,35 +56,78 @@ def words(column):
 
 
 def word_table(texts: DataFrame, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE) -> DataFrame:
-    """(word, ids) of every distinct word of the column ``text``."""
-    distinct = texts.select(F.explode(words(F.col("text"))).alias("word")).distinct()
-    return distinct.mapInArrow(_encoder(directory, name), "word string, ids array<int>")
+    """(word, n, ids) of every distinct word of the column ``text``, n times found."""
+    counted = texts.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.mapInArrow(_encoder(directory, name), "word string, n bigint, ids array<int>")
+
+
+def _assembler(known: dict[str, list[int]]):
+    """(words, key) to (key, runs, gaps): the ids between the words that aren't known, and those words."""
+
+    def run(batches):
+        for batch in batches:
+            runs, gaps = [], []
+            for row in batch.column(0).to_pylist():
+                run, own, missing = [], [], []
+                for w in row:
+                    ids = known.get(w)
+                    if ids is None:
+                        own.append(run)
+                        missing.append(w)
+                        run = []
+                    else:
+                        run += ids
+                own.append(run)
+                runs.append(own)
+                gaps.append(missing)
+            arrays = [batch.column(1), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(gaps, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["key", "runs", "gaps"])
+
+    return run
+
+
+def _counter(known: dict[str, int]):
+    """(words, key) to (key, n, gaps): the known words' tokens, and the words that aren't known."""
+
+    def run(batches):
+        for batch in batches:
+            sums, gaps = [], []
+            for row in batch.column(0).to_pylist():
+                missing = [w for w in row if w not in known]
+                sums.append(sum(known.get(w, 0) for w in row))
+                gaps.append(missing)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.int64()), pa.array(gaps, pa.list_(pa.string()))], ["key", "n", "gaps"])
+
+    return run
 
 
 def encode(
-    df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE, frequent_words: int = FREQUENT_WORDS
 ) -> DataFrame:
     """(key, ids) of each document, without special tokens; their strings are ordinary text.
 
     Null and empty texts give the empty list.  ``key`` is unique; texts may be of any length; an empty
     table gives no rows; other columns are ignored.
     """
-    docs, known, table, small = _prepared(df, key, text, directory, name, broadcast_bytes)
-    spread = docs.filter(known).repartition("key").select("key", F.posexplode_outer(words(F.col("text"))).alias("pos", "word"))
-    joined = spread.join(F.broadcast(table) if small else table, "word", "left")
-    gathered = joined.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.filter(F.transform("parts", lambda x: x["ids"]), lambda x: x.isNotNull()))
-    return gathered.select("key", ids.alias("ids")).unionByName(_whole_ids(docs.filter(~known), directory, name)).withColumnRenamed("key", key)
-
-
-def _prepared(df: DataFrame, key: str, text: str, directory: str, name: str, broadcast_bytes: int):
-    """(key, text) rows, the condition for splitting in Spark, the word table, whether it may be broadcast."""
+    scratch, docs, known, table = _prepared(df, key, text, directory, name)
+    frequent, rare = split(table, frequent_words)
+    kind = docs.schema["key"].dataType.simpleString()
+    split_words = docs.filter(known).select(words(F.col("text")).alias("words"), "key")
+    found = scratch.keep(split_words.mapInArrow(_assembler({r.word: r.ids for r in frequent}), f"key {kind}, runs array<array<int>>, gaps array<string>"))
+    gaps = found.select("key", F.posexplode("gaps").alias("pos", "word")).join(rare.select("word", "ids"), "word")
+    filled = gaps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("fill"))
+    joined = found.filter(F.size("gaps") > 0).join(filled, "key")
+    woven = F.flatten(F.zip_with("runs", "fill", lambda r, f: F.concat(r, F.coalesce(f["ids"], F.array().cast("array<int>")))))
+    whole = found.filter(F.size("gaps") == 0).select("key", F.col("runs")[0].alias("ids"))
+    return whole.unionByName(joined.select("key", woven.alias("ids"))).unionByName(_whole_ids(docs.filter(~known), directory, name)).withColumnRenamed("key", key)
+
+
+def _prepared(df: DataFrame, key: str, text: str, directory: str, name: str):
+    """The scratch folder, (key, text) rows, the condition for splitting in Spark, the written word table."""
     scratch = Scratch(df.sparkSession, "tokenizer")
     docs = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = ~F.col("text").rlike(_UNKNOWN)
-    table = scratch.keep(word_table(docs.filter(known), directory, name))
-    size = table.agg(F.sum(F.octet_length("word") + 4 * F.size("ids") + 48)).first()[0] or 0
-    return docs, known, table, size <= broadcast_bytes
+    return scratch, docs, known, scratch.keep(word_table(docs.filter(known), directory, name))
 
 
 def _whole_ids(docs: DataFrame, directory: str, name: str) -> DataFrame:
@@ -104,15 +146,17 @@ def _whole(directory: str, name: str):
 
 
 def sizes(
-    df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE, broadcast_bytes: int = BROADCAST_BYTES
+    df: DataFrame, key: str, text: str, directory: str = TOKENIZER_DIR, name: str = RANKS_FILE, frequent_words: int = FREQUENT_WORDS
 ) -> DataFrame:
-    """(key, n_tokens) of each document, the lengths of ``encode``'s lists without the lists: words are
-    counted through the word table and summed before the shuffle; 0 for null and empty texts."""
-    docs, known, table, small = _prepared(df, key, text, directory, name, broadcast_bytes)
-    counts = table.select("word", F.size("ids").alias("n"))
-    spread = docs.filter(known).select("key", F.explode_outer(words(F.col("text"))).alias("word"))
-    joined = spread.join(F.broadcast(counts) if small else counts, "word", "left")
-    usual = joined.groupBy("key").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("int").alias("n_tokens"))
+    """(key, n_tokens) of each document, the lengths of ``encode``'s lists without the lists; 0 for null and
+    empty texts."""
+    scratch, docs, known, table = _prepared(df, key, text, directory, name)
+    frequent, rare = split(table, frequent_words)
+    kind = docs.schema["key"].dataType.simpleString()
+    split_words = docs.filter(known).select(words(F.col("text")).alias("words"), "key")
+    found = scratch.keep(split_words.mapInArrow(_counter({r.word: len(r.ids) for r in frequent}), f"key {kind}, n bigint, gaps array<string>"))
+    gaps = found.select("key", F.explode("gaps").alias("word")).join(rare.select("word", F.size("ids").cast("bigint").alias("n")), "word").select("key", "n")
+    usual = found.select("key", "n").unionByName(gaps).groupBy("key").agg(F.sum("n").cast("int").alias("n_tokens"))
     whole = _whole_ids(docs.filter(~known), directory, name).select("key", F.size("ids").alias("n_tokens"))
     return usual.unionByName(whole).withColumnRenamed("key", key)
 
