@@ -1,19 +1,51 @@
 """Entities as connected components of match edges, and the conflicts inside them.
 
-Components by alternating large-star and small-star steps: every node is linked to the smallest node it
-can see, first for its larger neighbours, then for its smaller ones, until nothing changes; the number
-of rounds grows with the logarithm of the component size.  Edges are tables in the shared folder.
+Nodes are numbered in their order, so the rounds move 8-byte numbers.  Components by alternating
+large-star and small-star steps: every node is linked to the smallest node it can see, first for its
+larger neighbours, then for its smaller ones, until nothing changes; the number of rounds grows with the
+logarithm of the component size.  Once at most ``local_edges`` edges are left, one task finishes them.
+Edges are tables in the shared folder.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.blocking import numbered, with_numbers
 from weft.plans.runtime import Scratch
 
-_LONGEST = 100
+#: Edges of two 8-byte numbers that one task finishes by itself.
+LOCAL_EDGES = 200_000
+
+
+def _roots(frames):
+    """(node, root) of every node of all edges (a, b), by union-find; the root is the smallest node."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for pdf in frames:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            parent.setdefault(a, a), parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "root": pd.Series([find(x) for x in nodes], dtype="int64")})
+
+
+def local_roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of numbered edges (a, b), in one task: for few edges only."""
+    return edges.select("a", "b").coalesce(1).mapInPandas(_roots, "node bigint, root bigint")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,25 +63,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
-def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
+def connected(edges: DataFrame, left: str, right: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(node, root) of every node of an edge table; root is the component's smallest node.  Null ends and
     self-loops link nothing."""
     scratch = Scratch(edges.sparkSession, "graph")
-    e = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    current = scratch.keep(e)
-    before = None
-    for _ in range(_LONGEST):
-        following = scratch.keep(_star(_star(current, True), False))
-        now = following.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        scratch.drop(current)
-        current = following
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("the components didn't settle")
-    roots = current.select(F.col("b").alias("node")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+    named = edges.select(F.col(left).alias("x"), F.col(right).alias("y")).filter("x <> y").distinct()
+    numbers = numbered(named.select(F.explode(F.array("x", "y"))))
+    linked = with_numbers(with_numbers(named, "x", numbers), "y", numbers)
+    current = scratch.keep(linked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    before, roots = None, None
+    while roots is None:
+        now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if now[0] <= local_edges:
+            roots = local_roots(current)
+        elif now == before:
+            ends = current.select(F.col("b").alias("node")).distinct()
+            roots = current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(ends.select("node", F.col("node").alias("root")))
+        else:
+            following = scratch.keep(_star(_star(current, True), False))
+            scratch.drop(current)
+            current, before = following, now
+    return roots.join(numbers.toDF("node_id", "node"), "node").join(numbers.toDF("root_id", "root"), "root").select(F.col("node_id").alias("node"), F.col("root_id").alias("root"))
 
 
 def entities(pairs: DataFrame, left: str, right: str, match) -> DataFrame:
