@@ -44,14 +44,15 @@ def chain(n):
     ids=["chain", "star", "clique", "odd"],
 )
 def test_shapes(spark, rows):
-    assert run(spark, rows) == brute(rows)
-    assert run(spark, rows, max_degree=7) == brute(rows)  # hubs are split
+    assert run(spark, rows, local_edges=0) == brute(rows)
+    assert run(spark, rows, max_degree=7, local_edges=0) == brute(rows)  # hubs are split
+    assert run(spark, rows, local_edges=20) == brute(rows)  # the rest in one task
 
 
 def test_random(spark):
     rng = random.Random(7)
     rows = [(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}", rng.random() < 0.6) for _ in range(220)]
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == brute(rows) == run(spark, rows, local_edges=0)
 
 
 def test_empty(spark):

@@ -9,7 +9,8 @@ fixed number of rounds, one plan; the cap changes cluster radii only, never the
 
 All state is keyed by 8-byte vertex numbers, messages to a vertex are min-combined before the shuffle,
 vertices with very many edges are split into linked copies, and each level ends in tables in the shared
-folder.
+folder.  Once at most ``local_edges`` edges are left, one task finishes them by union-find: levels over few
+edges would only keep the driver busy.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.operators.graph import LOCAL_EDGES, local_roots
 from weft.plans.runtime import Scratch
 
 RATE = 0.4
 LAST_START = 4
 #: A vertex with more edges is split into copies, so no task holds all edges of a hub.
 MAX_DEGREE = 500_000
-_LONGEST = 64
 
 
 def _draw(level: int, salt: str):
@@ -69,7 +70,7 @@ def _split_hubs(edges: DataFrame, level: int, most: int, scratch: Scratch) -> Da
     return scratch.keep(_both(moved.unionAll(copies.select("v", "copy"))))
 
 
-def components(pairs: DataFrame, left: str, right: str, links, max_degree: int = MAX_DEGREE) -> DataFrame:
+def components(pairs: DataFrame, left: str, right: str, links, max_degree: int = MAX_DEGREE, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(group_id, node_id): every distinct id of the two columns with the smallest id (by UTF-8 bytes)
     of all ids linked to it directly or through others.
 
@@ -86,10 +87,11 @@ def components(pairs: DataFrame, left: str, right: str, links, max_degree: int =
         nodes.select(F.col("node_id").alias("b"), F.col("v").alias("w")), "b"
     )
     edges = scratch.keep(_both(half.select("v", "w")))
-    absorbed = []
-    for level in range(_LONGEST):
-        size = edges.count()
-        if not size:
+    absorbed, level = [], 0
+    while size := edges.count() // 2:
+        if size <= local_edges:
+            rest = local_roots(edges.filter("v < w").toDF("a", "b"))
+            absorbed.append(scratch.keep(rest.filter("node <> root").toDF("v", "c")))
             break
         if size > max_degree:
             edges = _split_hubs(edges, level, max_degree, scratch)
@@ -99,9 +101,7 @@ def components(pairs: DataFrame, left: str, right: str, links, max_degree: int =
         next_edges = scratch.keep(_both(crossing.select(F.least("c", "d").alias("v"), F.greatest("c", "d").alias("w")).distinct()))
         absorbed.append(clusters.filter("v <> c"))
         scratch.drop(edges)
-        edges = next_edges
-    else:
-        raise RuntimeError("the decomposition didn't end")
+        edges, level = next_edges, level + 1
     if not absorbed:
         return nodes.select(F.col("node_id").alias("group_id"), "node_id")
     # a vertex is absorbed once at most, so the assignments of all levels are a forest as deep as there
