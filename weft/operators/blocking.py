@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.functions import similarity as sim
 from weft.functions import text
 from weft.plans.runtime import Scratch
 
@@ -74,12 +75,17 @@ def author_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFr
     return with_names(pairs, ["anchor_id", "candidate_id"], numbers)
 
 
-def author_number_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFrame:
-    """``author_pairs`` of instances whose ids are numbers already."""
-    e = instances.filter(~F.col("truncation_flag")).select(
+def _eligible(instances: DataFrame) -> DataFrame:
+    """(id, author_id, name_key, year_int, name_affil) of instances that aren't truncated, each once."""
+    return instances.filter(~F.col("truncation_flag")).select(
         F.col("author_instance_id").alias("id"), "author_id", "name_key", "year_int",
         F.when((F.col("name_key") != "") & (F.col("record_affil_prefix") != ""), F.concat_ws("|", "name_key", "record_affil_prefix")).alias("name_affil"),
-    )
+    ).distinct()
+
+
+def author_number_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFrame:
+    """``author_pairs`` of instances whose ids are numbers already."""
+    e = _eligible(instances)
     passes = [
         pass_pairs(e, e, "author_id", "id", "pass1_author_id", 1, "author_id:"),
         pass_pairs(e, e, "name_key", "id", "pass2_name_key", 2, "name_key:", within_years(year_window)),
@@ -91,6 +97,52 @@ def author_number_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) ->
     return best_pass(out)
 
 
+def author_context_pairs(instances: DataFrame, unique: DataFrame, k: int = TOP_K, year_window: int = YEAR_WINDOW) -> DataFrame:
+    """Those of ``author_number_pairs`` that can be among the k best of their anchor by the context score,
+    without all pairs of a name block: their number grows with the instances, not with the squares of blocks.
+
+    The score of a pair without a common co-author and affiliation prefix is 0, and equal scores go by id.
+    So an anchor needs the pairs of the first and third pass, the pairs of its name block that have a
+    co-author or the prefix in common, and of its block's ids within the years the k + 1 smallest."""
+    e = _eligible(instances)
+    named = e.filter(F.col("name_key") != "").select("id", "name_key", "year_int").distinct()
+    context = F.concat(
+        F.transform(F.coalesce("coauthor_keys", F.array().cast("array<string>")), lambda x: F.concat(F.lit("c|"), x)),
+        F.when(F.col("record_affil_prefix") != "", F.array(F.concat(F.lit("p|"), "record_affil_prefix"))).otherwise(F.array().cast("array<string>")),
+    )
+    posted = named.join(unique.select(F.col("author_instance_id").alias("id"), F.explode(F.array_distinct(context)).alias("shared")), "id")
+    posted = posted.withColumn("key", F.xxhash64("name_key", "shared").cast("string"))
+    a, c = posted.alias("a"), posted.alias("c")
+    meets = (F.col("a.key") == F.col("c.key")) & (F.col("a.name_key") == F.col("c.name_key")) & (F.col("a.id") != F.col("c.id")) & within_years(year_window)
+    found = a.join(c, meets).select(F.col("a.id").alias("anchor_id"), F.col("c.id").alias("candidate_id"), F.col("a.name_key").alias("name_key")).distinct()
+
+    place = F.row_number().over(W.partitionBy("name_key", "year_int").orderBy("id"))
+    first = named.withColumn("_n", place).filter(F.col("_n") <= k + 1).drop("_n")
+    groups = named.select("name_key", "year_int").distinct()
+    near = groups.alias("a").join(first.alias("c"), (F.col("a.name_key") == F.col("c.name_key")) & within_years(year_window))
+    near = near.select(F.col("a.name_key").alias("name_key"), F.col("a.year_int").alias("year_int"), F.col("c.id").alias("candidate_id")).distinct()
+    nearest = near.withColumn("_n", F.row_number().over(W.partitionBy("name_key", "year_int").orderBy("candidate_id"))).filter(F.col("_n") <= k + 1).drop("_n")
+    lists = nearest.groupBy("name_key", "year_int").agg(F.collect_list("candidate_id").alias("ids"))  # k + 1 numbers at most
+    same = (F.col("a.name_key") == F.col("c.name_key")) & F.col("a.year_int").eqNullSafe(F.col("c.year_int"))
+    fill = named.alias("a").join(lists.alias("c"), same).select(F.col("a.id").alias("anchor_id"), F.explode("c.ids").alias("candidate_id"), F.col("a.name_key").alias("name_key")).filter("anchor_id <> candidate_id")
+    second = found.unionByName(fill).select(
+        "anchor_id", "candidate_id", F.lit("pass2_name_key").alias("pass_id"), F.lit(2).alias("priority"), F.lit(0).alias("key_pos"), F.concat(F.lit("name_key:"), "name_key").alias("block_key")
+    )
+    passes = [pass_pairs(e, e, "author_id", "id", "pass1_author_id", 1, "author_id:"), second, pass_pairs(e, e, "name_affil", "id", "pass3_name_key_affil", 3, "name_key_affil:")]
+    return best_pass(passes[0].unionByName(passes[1]).unionByName(passes[2]))
+
+
+def name_ratios(instances: DataFrame, unique: DataFrame, names: DataFrame) -> DataFrame:
+    """(a_name, c_name, name_ratio), a_name < c_name, of the numbers of distinct names that meet in a block of
+    any pass; unique: author_instance_id, name; names: (id, n)."""
+    named = _eligible(instances).join(unique.select(F.col("author_instance_id").alias("id"), "name"), "id")
+    keys = named.select("name", F.explode(F.array(F.concat(F.lit("i|"), F.nullif("author_id", F.lit(""))), F.concat(F.lit("n|"), F.nullif("name_key", F.lit(""))))).alias("key")).filter("key is not null").distinct()
+    a, c = keys.toDF("a_name", "key"), keys.toDF("c_name", "key")
+    half = a.join(c, "key").filter("a_name < c_name").select("a_name", "c_name").distinct()
+    texts = half.join(names.toDF("_a", "a_name"), "a_name").join(names.toDF("_c", "c_name"), "c_name")
+    return texts.select("a_name", "c_name", sim.ratio(F.col("_a"), F.col("_c")).alias("name_ratio"))
+
+
 def capped(df: DataFrame, key: str, order: list, cap: int) -> DataFrame:
     """The first ``cap`` rows of each key."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
@@ -129,13 +181,33 @@ def top_k(scored: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def author_candidates(instances: DataFrame, unique: DataFrame, columns: list[str], score, k: int = TOP_K, year_window: int = YEAR_WINDOW) -> DataFrame:
-    """The k best candidates of each anchor with rank and score; unique: one row per instance with
-    ``columns``, which ``score`` finds as a_* and c_*.  Ids are named only for what is kept."""
+def author_candidates(
+    instances: DataFrame, unique: DataFrame, columns: list[str], score, k: int = TOP_K, year_window: int = YEAR_WINDOW, name: str = "author_norm"
+) -> DataFrame:
+    """The k best candidates of each anchor with rank and score; unique: one row per instance with its ``name``
+    and ``columns``, which ``score`` finds as a_* and c_*, and the name ratio as name_ratio.  Ids are named
+    only for what is kept; a pair of names is compared once, however many instances have them."""
+    scratch = Scratch(instances.sparkSession, "names")
     numbers = numbered(instances.select("author_instance_id"))
-    pairs = author_number_pairs(with_numbers(instances, "author_instance_id", numbers), year_window)
-    sides = with_sides(pairs, with_numbers(unique.select("author_instance_id", *columns), "author_instance_id", numbers), "author_instance_id", columns)
-    return with_names(top_k(sides.withColumn("score", score), k), ["anchor_id", "candidate_id"], numbers)
+    named = unique.withColumn("name", F.coalesce(name, F.lit("")))
+    names = numbered(named.select("name"))
+    own = scratch.keep(with_numbers(with_numbers(named.select("author_instance_id", "name", *columns), "author_instance_id", numbers), "name", names))
+    known = with_numbers(instances, "author_instance_id", numbers)
+    ratios = scratch.keep(name_ratios(known, own, names))
+    sides = with_sides(author_number_pairs(known, year_window), own, "author_instance_id", ["name", *columns])
+    both = sides.withColumns({"_x": F.least("a_name", "c_name"), "_y": F.greatest("a_name", "c_name")}).join(ratios.toDF("_x", "_y", "name_ratio"), ["_x", "_y"], "left").drop("_x", "_y")
+    scored = both.withColumn("name_ratio", F.coalesce("name_ratio", F.lit(1.0))).withColumn("score", score)  # only equal names aren't in the table
+    return with_names(top_k(scored, k), ["anchor_id", "candidate_id"], numbers)
+
+
+def author_context_candidates(instances: DataFrame, unique: DataFrame, k: int = TOP_K, year_window: int = YEAR_WINDOW) -> DataFrame:
+    """The k best candidates of each anchor by the context score alone (co-authors and affiliation prefix)."""
+    columns = ["coauthor_keys", "record_affil_prefix"]
+    numbers = numbered(instances.select("author_instance_id"))
+    own = with_numbers(unique.select("author_instance_id", *columns), "author_instance_id", numbers)
+    pairs = author_context_pairs(with_numbers(instances, "author_instance_id", numbers), own, k, year_window)
+    scored = with_sides(pairs, own, "author_instance_id", columns).withColumn("score", sim.and_context_score("a_", "c_"))
+    return with_names(top_k(scored, k), ["anchor_id", "candidate_id"], numbers)
 
 
 def affiliation_candidates(mentions: DataFrame, score, k: int = TOP_K, cap: int = BLOCK_CAP) -> DataFrame:

@@ -76,7 +76,7 @@ def author_pairs(spark, sf_dir):
 def blocking_topk(spark, sf_dir):
     """Candidate pairs with their native score, the best 50 per anchor."""
     i = table(spark, sf_dir, "author_instances")
-    ranked = blocking.author_candidates(i, mentions.unique_instances(i), ["coauthor_keys", "record_affil_prefix"], sim.and_context_score("a_", "c_"))
+    ranked = blocking.author_context_candidates(i, mentions.unique_instances(i))
     return ranked.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.round("score", 6).alias("similarity_score"), "rank")
 
 
@@ -92,8 +92,8 @@ SELECT anchor_id, candidate_id, best_pass_id, best_block_key, pass_priority, rou
 def author_candidates(spark, sf_dir):
     """The full candidate table: names compared by subsequence ratio."""
     i = table(spark, sf_dir, "author_instances")
-    columns = ["author_norm", "coauthor_keys", "record_affil_prefix", "year_int", "query_frame"]
-    ranked = blocking.author_candidates(i, mentions.unique_instances(i), columns, sim.and_score("a_", "c_"))
+    columns = ["coauthor_keys", "record_affil_prefix", "year_int", "query_frame"]
+    ranked = blocking.author_candidates(i, mentions.unique_instances(i), columns, sim.and_score("a_", "c_", F.col("name_ratio")))
     return ranked.select(
         F.lit("AND").alias("task"), "anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.round("score", 6).alias("similarity_score"), "rank",
         F.abs(F.col("a_year_int") - F.col("c_year_int")).alias("year_diff"), F.col("a_query_frame").alias("query_frame_anchor"), F.col("c_query_frame").alias("query_frame_candidate"),

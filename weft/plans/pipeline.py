@@ -32,15 +32,28 @@ def match_authors(records: DataFrame, decided: DataFrame | None = None, settings
     """
     found = mentions.author_mentions(records)
     unique = mentions.unique_instances(found)
-    columns = ["author_norm", "coauthor_keys", "record_affil_prefix"]
-    candidates = blocking.author_candidates(found, unique, columns, sim.and_score("a_", "c_"), settings.top_k, settings.year_window)
+    columns = ["coauthor_keys", "record_affil_prefix"]
+    candidates = blocking.author_candidates(found, unique, columns, sim.and_score("a_", "c_", F.col("name_ratio")), settings.top_k, settings.year_window)
     candidates = candidates.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", "score", "rank")
+    return _matched("AND", found, unique.select(F.col("author_instance_id").alias("node")), candidates, decided, settings)
+
+
+def match_affiliations(records: DataFrame, decided: DataFrame | None = None, settings: MatchSettings = MatchSettings()) -> Matched:
+    """Normalised records to affiliation entities, in the same way; the guards know other kinds of evidence."""
+    found = mentions.affiliation_mentions(records)
+    candidates = blocking.affiliation_candidates(found, sim.ain_score("a_", "c_"), settings.top_k)
+    candidates = candidates.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.col("similarity_score").alias("score"), "rank")
+    return _matched("AIN", found, found.select(F.col("affil_instance_id").alias("node")).distinct(), candidates, decided, settings)
+
+
+def _matched(task: str, found: DataFrame, nodes: DataFrame, candidates: DataFrame, decided: DataFrame | None, settings: MatchSettings) -> Matched:
+    """Decisions, routing, entities and conflicts of candidates; every node is in an entity, linked or not."""
     used = ["anchor_id", "candidate_id", "label", "confidence", "evidence_used"]
     stub = decisions.stub_decisions(candidates if decided is None else decisions.still_open(candidates, decided)).select(*used)
     log = stub if decided is None else stub.unionByName(decisions.last_decision(decided, ["confidence"], used[2:]).filter("label <> 'error'"))
-    routed = guards.route(log, "AND", settings.t_match, settings.t_nonmatch, settings.m_signals)
-    nodes = unique.select(F.col("author_instance_id").alias("anchor_id"), F.col("author_instance_id").alias("candidate_id"), F.lit("self").alias("label_final"))
-    edges = routed.select("anchor_id", "candidate_id", "label_final").unionByName(nodes)  # single mentions are entities too
+    routed = guards.route(log, task, settings.t_match, settings.t_nonmatch, settings.m_signals)
+    single = nodes.select(F.col("node").alias("anchor_id"), F.col("node").alias("candidate_id"), F.lit("self").alias("label_final"))
+    edges = routed.select("anchor_id", "candidate_id", "label_final").unionByName(single)
     members = graph.entities(edges, "anchor_id", "candidate_id", F.col("label_final") == "match")
     bad = graph.conflicts(edges, members, "anchor_id", "candidate_id", F.col("label_final") == "non-match")
     return Matched(found, candidates, log, routed, members, bad)
