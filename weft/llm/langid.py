@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.tokenizer import TOKENIZER_DIR
-from weft.llm.wordtable import FREQUENT_WORDS, split
+from weft.llm.wordtable import FREQUENT_WORDS, places, split, unknown
 from weft.plans.runtime import Scratch
 
 LANGUAGES = ("ar", "de", "en", "es", "fr", "it", "pt")
@@ -156,19 +156,21 @@ def _summer(frequent: list):
     the words that aren't known."""
     index = {r.word: i for i, r in enumerate(frequent)}
     scores = np.array([r.scores for r in frequent] + [[0.0] * len(LANGUAGES)])
-    real = [real_word(r.word) for r in frequent]
+    real = np.array([real_word(r.word) for r in frequent] + [False])
 
     def run(batches):
         for batch in batches:
             last = batch.num_columns - 1
-            counts, sums, gaps = [], [], []
-            for row in batch.column(last).to_pylist():
-                places = [index.get(w, -1) for w in row]
-                counts.append(sum(real[i] if i >= 0 else real_word(w) for i, w in zip(places, row)))
-                sums.append(scores[places].sum(axis=0) if places else np.zeros(len(LANGUAGES)))
-                gaps.append([w for i, w in zip(places, row) if i < 0])
-            table = np.array(sums).reshape(-1, len(LANGUAGES))
-            arrays = [*(batch.column(i) for i in range(last)), pa.array(counts, pa.int64()), *(pa.array(table[:, k]) for k in range(len(LANGUAGES))), pa.array(gaps, pa.list_(pa.string()))]
+            offsets, at, encoded = places(batch.column(last), index)
+            gaps = unknown(offsets, at, encoded)
+            counted = real[at]
+            counted[at < 0] = [real_word(w) for w in gaps.values.to_pylist()]
+            n = np.diff(np.r_[0, np.cumsum(counted)][offsets])
+            table = np.zeros((len(offsets) - 1, len(LANGUAGES)))
+            filled = np.flatnonzero(np.diff(offsets))
+            if len(filled):
+                table[filled] = np.add.reduceat(scores[at], offsets[filled], axis=0)
+            arrays = [*(batch.column(i) for i in range(last)), pa.array(n.astype(np.int64)), *(pa.array(table[:, k]) for k in range(len(LANGUAGES))), gaps]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:last], "n_words", *(f"s{k}" for k in range(len(LANGUAGES))), "gaps"])
 
     return run

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weft.llm.wordtable import FREQUENT_WORDS, split
+from weft.llm.wordtable import FREQUENT_WORDS, places, split, unknown
 from weft.plans.runtime import Scratch
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -61,42 +62,39 @@ def word_table(texts: DataFrame, directory: str = TOKENIZER_DIR, name: str = RAN
     return counted.mapInArrow(_encoder(directory, name), "word string, n bigint, ids array<int>")
 
 
-def _assembler(known: dict[str, list[int]]):
+def _assembler(frequent: list):
     """(words, key) to (key, runs, gaps): the ids between the words that aren't known, and those words."""
+    index = {r.word: i for i, r in enumerate(frequent)}
+    ids = pa.array([r.ids for r in frequent] + [[]], pa.list_(pa.int32()))
+    sizes = np.array([len(r.ids) for r in frequent] + [0], np.int64)
 
     def run(batches):
         for batch in batches:
-            runs, gaps = [], []
-            for row in batch.column(0).to_pylist():
-                run, own, missing = [], [], []
-                for w in row:
-                    ids = known.get(w)
-                    if ids is None:
-                        own.append(run)
-                        missing.append(w)
-                        run = []
-                    else:
-                        run += ids
-                own.append(run)
-                runs.append(own)
-                gaps.append(missing)
-            arrays = [batch.column(1), pa.array(runs, pa.list_(pa.list_(pa.int32()))), pa.array(gaps, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "runs", "gaps"])
+            offsets, at, encoded = places(batch.column(0), index)
+            tokens = ids.take(pa.array(np.where(at < 0, len(frequent), at))).flatten()
+            before = np.r_[0, np.cumsum(sizes[at])]  # tokens before each word
+            missing = np.flatnonzero(at < 0)
+            # a run ends at each unknown word and at the end of its document
+            ends = np.r_[missing * 2 + 1, offsets[1:] * 2]
+            ends.sort()
+            inner = np.r_[0, before[ends // 2]].astype(np.int32)
+            outer = (np.searchsorted(missing, offsets) + np.arange(len(offsets))).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(1), runs, unknown(offsets, at, encoded)], ["key", "runs", "gaps"])
 
     return run
 
 
-def _counter(known: dict[str, int]):
+def _counter(frequent: list):
     """(words, key) to (key, n, gaps): the known words' tokens, and the words that aren't known."""
+    index = {r.word: i for i, r in enumerate(frequent)}
+    sizes = np.array([len(r.ids) for r in frequent] + [0], np.int64)
 
     def run(batches):
         for batch in batches:
-            sums, gaps = [], []
-            for row in batch.column(0).to_pylist():
-                missing = [w for w in row if w not in known]
-                sums.append(sum(known.get(w, 0) for w in row))
-                gaps.append(missing)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.int64()), pa.array(gaps, pa.list_(pa.string()))], ["key", "n", "gaps"])
+            offsets, at, encoded = places(batch.column(0), index)
+            before = np.r_[0, np.cumsum(sizes[at])]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.diff(before[offsets])), unknown(offsets, at, encoded)], ["key", "n", "gaps"])
 
     return run
 
@@ -113,7 +111,7 @@ def encode(
     frequent, rare = split(table, frequent_words)
     kind = docs.schema["key"].dataType.simpleString()
     split_words = docs.filter(known).select(words(F.col("text")).alias("words"), "key")
-    found = scratch.keep(split_words.mapInArrow(_assembler({r.word: r.ids for r in frequent}), f"key {kind}, runs array<array<int>>, gaps array<string>"))
+    found = scratch.keep(split_words.mapInArrow(_assembler(frequent), f"key {kind}, runs array<array<int>>, gaps array<string>"))
     gaps = found.select("key", F.posexplode("gaps").alias("pos", "word")).join(rare.select("word", "ids"), "word")
     filled = gaps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("fill"))
     joined = found.filter(F.size("gaps") > 0).join(filled, "key")
@@ -154,7 +152,7 @@ def sizes(
     frequent, rare = split(table, frequent_words)
     kind = docs.schema["key"].dataType.simpleString()
     split_words = docs.filter(known).select(words(F.col("text")).alias("words"), "key")
-    found = scratch.keep(split_words.mapInArrow(_counter({r.word: len(r.ids) for r in frequent}), f"key {kind}, n bigint, gaps array<string>"))
+    found = scratch.keep(split_words.mapInArrow(_counter(frequent), f"key {kind}, n bigint, gaps array<string>"))
     gaps = found.select("key", F.explode("gaps").alias("word")).join(rare.select("word", F.size("ids").cast("bigint").alias("n")), "word").select("key", "n")
     usual = found.select("key", "n").unionByName(gaps).groupBy("key").agg(F.sum("n").cast("int").alias("n_tokens"))
     whole = _whole_ids(docs.filter(~known), directory, name).select("key", F.size("ids").alias("n_tokens"))

@@ -7,6 +7,8 @@ shuffle, where no word is a hot key.  The bound doesn't depend on the corpus.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +37,20 @@ def split(table: DataFrame, most: int = FREQUENT_WORDS) -> tuple[list, DataFrame
     """(rows of the frequent words, at most ``most``; the table of the others) of a written table of (word, n, ...)."""
     floor = frequent_floor(table, most)
     return table.filter(_step(F.col("n")) >= floor).collect(), table.filter(_step(F.col("n")) < floor)
+
+
+def places(words: pa.ListArray, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """(offsets of the lists, place in ``index`` of every word or -1, the words): each distinct word of a batch is
+    looked up once."""
+    offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+    encoded = words.flatten().dictionary_encode()
+    found = np.array([index.get(w, -1) for w in encoded.dictionary.to_pylist()] or [-1], np.int64)
+    return offsets, found[encoded.indices.to_numpy(zero_copy_only=False)] if len(encoded) else np.zeros(0, np.int64), encoded
+
+
+def unknown(offsets: np.ndarray, at: np.ndarray, encoded: pa.DictionaryArray) -> pa.ListArray:
+    """The words of each list whose place is -1, in order."""
+    missing = np.flatnonzero(at < 0)
+    ends = np.searchsorted(missing, offsets)
+    values = encoded.take(pa.array(missing)).cast(pa.string()) if len(missing) else pa.array([], pa.string())
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
