@@ -17,14 +17,23 @@ def cells(spark):
     return spark.createDataFrame(rows, "n int, f string, expected string").withColumn("text", F.lit(1)).withColumn("k0", F.lit("x"))
 
 
-@pytest.mark.parametrize("limit", [0, lookalikes.BROADCAST_BYTES])
-def test_cases(spark, cells, limit):
-    got = {r.n: r for r in lookalikes.unified(cells, ["n"], ["f"], broadcast_bytes=limit).collect()}
+@pytest.mark.parametrize("only_changed", [False, True])
+def test_cases(spark, cells, only_changed):
+    got = {r.n: r for r in lookalikes.unified(cells, ["n"], ["f"], only_changed).collect()}
     for i, (x, y) in enumerate(CASES.items()):
-        assert got[1000 + i].canonical == y, (x, got[1000 + i].canonical)
-        assert got[1000 + i].changed == (x != y)
+        if only_changed and x == y:
+            assert 1000 + i not in got
+        else:
+            assert got[1000 + i].canonical == y, (x, got[1000 + i].canonical)
+            assert got[1000 + i].changed == (x != y)
     assert 5000 not in got and got[5001].canonical.endswith(" hisneran")
-    assert not any(got[i].changed for i in range(len(WORDS * 20)))
+    assert not any(got[i].changed for i in range(len(WORDS * 20)) if i in got)
+
+
+def test_capitals():
+    model = lookalikes.Trigrams({})
+    assert lookalikes.canonical("UNIVЕRSITУ", model)[:8] == "UNIVERSI" and lookalikes.canonical("Sоran", model) == "Soran"
+    assert lookalikes.canonical("ПРИВЕТ", model) == "ПРИВЕТ" and lookalikes.canonical("ılık", model) == "ılık"
 
 
 def test_two_fields_and_repeated_words(spark):

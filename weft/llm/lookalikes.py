@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from weft.plans.runtime import Scratch
 
-#: Letters that look alike across scripts, as lower-case groups, Latin letter first.
+#: Letters that look alike across scripts, Latin letter first.  Letters of composed Latin, like the
+#: dotless i, are ordinary and in no group.
 GROUPS = (
-    "aаαɑ", "bЬƅ", "cсϲ", "dԁ", "eе", "fϝ", "gɡց", "hһ", "iіιɩı", "jјϳ", "kкκ", "lӏ", "mм", "nпո", "oоοσօ", "pрρ", "qԛգ",
+    "aаαɑ", "bЬ", "cсϲ", "dԁ", "eе", "fϝ", "gɡց", "hһ", "iіιɩ", "jјϳ", "kкκ", "lӏ", "mм", "nпո", "oоοσօ", "pрρ", "qԛգ",
     "rг", "sѕ", "tτт", "uυս", "vνѵ", "wԝωѡ", "xхχ", "yуγү", "zᴢ", "äӓ", "ëё", "ïї", "æӕ",
+    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙ", "JЈ", "KКΚ", "MМΜ", "NΝ", "OОΟ", "PРΡ", "QԚ", "SЅ", "TТΤ", "WԜ", "XХΧ", "YҮΥ", "ZΖ",
 )
 REPLACED, SWITCHED = 3.0, 25.0
-BROADCAST_BYTES = 32 << 20
 _PLAIN = "\\x20-\\x7EÀ-ɏ"
 #: A character outside the plain set, or one inside it that isn't in composed compatibility form.
 SUSPECT = f"[^{_PLAIN}]|[ĲĳĿŀŉſǄ-ǌǱ-ǳ]"
@@ -118,7 +119,8 @@ def best_path(token: str, model: Trigrams) -> str:
                 to = script_of(option)
                 cost = (REPLACED + (option not in _HEADS)) * (option != char) + SWITCHED * (script not in ("", to)) + SWITCHED * (to == "other")
                 context = last if script == to else "^^"
-                reach((to, context[1] + option), score + model.log(to, context, option) - cost, path + option)
+                low = option.lower()[0]  # the trigrams are those of lower-case text
+                reach((to, context[1] + low), score + model.log(to, context, low) - cost, path + option)
         states = following
     finals = []
     for (script, last), (score, path) in states.items():
@@ -144,12 +146,14 @@ def script_trigrams(cells: DataFrame) -> DataFrame:
     return runs.filter("script is not null").select("script", F.explode(grams).alias("gram"), "n").groupBy("script", "gram").agg(F.sum("n").alias("n"))
 
 
-def unified(df: DataFrame, keys: list[str], fields: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(keys..., field, text, canonical, changed) of every non-null cell of ``fields``.
+def unified(df: DataFrame, keys: list[str], fields: list[str], only_changed: bool = False) -> DataFrame:
+    """(keys..., field, text, canonical, changed) of every non-null cell of ``fields``, or with
+    ``only_changed`` of those whose form differs.
 
     ``keys`` identify a row.  The empty text is its own form.  Repeated rows give repeated cells only if
     their keys differ.  Empty tables give no rows.  The trigram table is collected: it is bounded by the
-    cubed alphabets of three scripts and in practice has some ten thousand rows at any corpus size.
+    cubed alphabets of three scripts and in practice has some ten thousand rows at any corpus size.  Cells
+    with odd characters are found once and kept; the forms of their tokens come back through a shuffle.
     """
     scratch = Scratch(df.sparkSession, "lookalikes")
     renamed = df.select(*(F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)), *(F.col(f"`{f}`").alias(f"f{i}") for i, f in enumerate(fields)))
@@ -164,14 +168,18 @@ def unified(df: DataFrame, keys: list[str], fields: list[str], broadcast_bytes:
 
     odd = F.col("text").rlike(SUSPECT)
     suspects = F.array_distinct(F.filter(F.split("text", " "), lambda t: t.rlike(SUSPECT)))
-    tokens = cells.filter(odd).select(F.explode(suspects).alias("token")).distinct()
-    forms = scratch.keep(tokens.mapInPandas(convert, "token string, form string"))
-    size = forms.agg(F.sum(F.octet_length("token") + F.octet_length("form") + 48)).first()[0] or 0
-    used = cells.filter(odd).select(*ids, "field", "text", F.explode(suspects).alias("token"))
-    used = used.join(F.broadcast(forms) if size <= broadcast_bytes else forms, "token")
-    found = used.groupBy(*ids, "field").agg(F.first("text").alias("text"), F.map_from_entries(F.collect_list(F.struct("token", "form"))).alias("forms"))
+    found = scratch.keep(cells.filter(odd).withColumn("suspects", suspects))
+    forms = found.select(F.explode("suspects").alias("token")).distinct().mapInPandas(convert, "token string, form string")
+    used = found.select(*ids, "field", F.explode("suspects").alias("token")).join(forms, "token").filter("token <> form")
+    changes = used.groupBy(*ids, "field").agg(F.map_from_entries(F.collect_list(F.struct("token", "form"))).alias("forms"))
     rewritten = F.array_join(F.transform(F.split("text", " "), lambda t: F.coalesce(F.col("forms")[t], t)), " ")
-    looked = found.select(*ids, "field", "text", rewritten.alias("canonical"))
-    plain = cells.filter(~odd).select(*ids, "field", "text", F.col("text").alias("canonical"))
-    out = looked.unionByName(plain).withColumn("changed", F.col("canonical") != F.col("text"))
+    same = [F.col(c).eqNullSafe(F.col(f"c_{c}")) for c in [*ids, "field"]]
+    right = changes.select(*(F.col(c).alias(f"c_{c}") for c in [*ids, "field"]), "forms")
+    condition = same[0]
+    for s in same[1:]:
+        condition = condition & s
+    looked = found.join(right, condition, "inner" if only_changed else "left").select(*ids, "field", "text", F.coalesce(F.when(F.col("forms").isNotNull(), rewritten), "text").alias("canonical"))
+    if not only_changed:
+        looked = looked.unionByName(cells.filter(~odd).select(*ids, "field", "text", F.col("text").alias("canonical")))
+    out = looked.withColumn("changed", F.col("canonical") != F.col("text"))
     return out.select(*(F.col(f"k{i}").alias(k) for i, k in enumerate(keys)), "field", "text", "canonical", "changed")

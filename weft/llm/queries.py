@@ -140,6 +140,21 @@ def p8_pack(spark, sf_dir):
     return packing.pack(sizes, "doc_id", "n_tokens", CAPACITY)
 
 
+def p8_violations(spark, sf_dir):
+    """Containers of ``p8_pack`` with a gap, an overlap or too many tokens, documents that fit but are split or
+    have lost tokens: none is expected."""
+    docs = table(spark, sf_dir, "documents")
+    placed = p8_pack(spark, sf_dir)
+    inside = placed.filter("container is not null").groupBy("container").agg(F.sum("length").alias("used"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"), F.countDistinct("offset").alias("starts"), F.count(F.lit(1)).alias("n"))
+    bad = inside.filter((F.col("used") != F.col("end")) | (F.col("end") > CAPACITY) | (F.col("first") != 0) | (F.col("starts") != F.col("n"))).select(F.col("container").alias("what"))
+    sizes = tokenizer.sizes(docs, "doc_id", "text")
+    whole = placed.groupBy("doc_id").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("parts"), F.max(F.col("start") + F.col("length")).alias("end"))
+    split = sizes.join(whole, "doc_id", "full").filter(
+        ~F.col("n_tokens").eqNullSafe(F.col("length")) | ~F.col("n_tokens").eqNullSafe(F.col("end")) | (F.col("parts") > F.greatest(F.ceil(F.col("n_tokens") / CAPACITY), F.lit(1)))
+    )
+    return bad.unionByName(split.select(F.col("doc_id").cast("string").alias("what")))
+
+
 def p8_fill(spark, sf_dir):
     """One row: containers, tokens and the share of unused space."""
     p = p8_pack(spark, sf_dir).filter("container is not null")
@@ -154,13 +169,16 @@ def p8_fill(spark, sf_dir):
 TEXT_FIELDS = ["authors_norm", "author_full_names_norm", "affiliations_norm"]
 
 
+def _unified(spark, sf_dir, only_changed):
+    return lookalikes.unified(table(spark, sf_dir, "records_normalised"), ["source_file", "row_id_in_file"], TEXT_FIELDS, only_changed)
+
+
 def p3_cells(spark, sf_dir):
-    r = table(spark, sf_dir, "records_normalised")
-    return lookalikes.unified(r, ["source_file", "row_id_in_file"], TEXT_FIELDS)
+    return _unified(spark, sf_dir, False)
 
 
 def p3_found(spark, sf_dir):
-    return p3_cells(spark, sf_dir).filter("changed").select("source_file", "row_id_in_file", "field")
+    return _unified(spark, sf_dir, True).filter("changed").select("source_file", "row_id_in_file", "field")
 
 
 def p9_segments(spark, sf_dir):
@@ -218,6 +236,7 @@ QUERIES = {
     "p7_roundtrip": (p7_roundtrip, "SELECT doc_id FROM documents WHERE false"),
     "p8_pack": (p8_pack, None),
     "p8_fill": (p8_fill, None),
+    "p8_violations": (p8_violations, "SELECT CAST(doc_id AS VARCHAR) AS what FROM documents WHERE false"),
     "p2_found": (p2_found, P2_SQL),
     "p4_found": (p4_found, P4_FOUND_SQL),
     "p4_terms": (p4_terms, P4_TERMS_SQL),

@@ -150,8 +150,8 @@ def cut(table: pa.Table, n: int, ranked: bool) -> pa.Table:
     return pa.table({"g": out["g"], "k": pa.array((place + 1).astype(np.int32)), "i": out["i"], "p": out["p"], "s": out["s"]})
 
 
-def _cutter(n: int, ranked: bool, chunk_rows: int):
-    """Cuts a stream of batches, holding survivors and one chunk."""
+def _local_cutter(n: int, chunk_rows: int):
+    """Cuts a stream of batches in any order; survivors may leave early, as they are cut again."""
 
     def run(batches):
         held, size, floor = [], 0, 0
@@ -161,11 +161,34 @@ def _cutter(n: int, ranked: bool, chunk_rows: int):
             if size >= floor + chunk_rows:
                 held = [cut(pa.concat_tables(held), n, False)]
                 size = floor = held[0].num_rows
-                if not ranked and floor > chunk_rows:  # map side: survivors may leave early
+                if floor > chunk_rows:
                     yield from held[0].to_batches()
                     held, size, floor = [], 0, 0
         if held:
-            yield from cut(pa.concat_tables(held), n, ranked).to_batches()
+            yield from cut(pa.concat_tables(held), n, False).to_batches()
+
+    return run
+
+
+def _final_cutter(n: int, chunk_rows: int):
+    """Cuts a stream of batches sorted by group: whole groups are passed on, the last one of a chunk waits,
+    cut to its survivors."""
+
+    def run(batches):
+        held, size, floor = [], 0, 0
+        for batch in batches:
+            held.append(pa.table(batch))
+            size += batch.num_rows
+            if size >= floor + chunk_rows:
+                rows = pa.concat_tables(held)
+                waiting = pc.sum(pc.equal(rows["g"], rows["g"][-1])).as_py()
+                over = rows.slice(0, rows.num_rows - waiting)
+                if over.num_rows:
+                    yield from cut(over, n, True).to_batches()
+                held = [cut(rows.slice(over.num_rows), n, False)]
+                size = floor = held[0].num_rows
+        if held:
+            yield from cut(pa.concat_tables(held), n, True).to_batches()
 
     return run
 
@@ -183,8 +206,8 @@ def top_n(df: DataFrame, group: str, item: str, priority: str, score: str, n: in
         F.col(group).cast("string").alias("g"), F.col(item).cast("string").alias("i"),
         F.coalesce(F.col(priority).cast("bigint"), F.lit(2**63 - 1)).alias("p"), s.alias("s"),
     ).filter(F.col("g").isNotNull() & F.col("i").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
-    local = rows.mapInArrow(_cutter(n, False, chunk_rows), _SCHEMA)
-    final = local.repartition("g").mapInArrow(_cutter(n, True, chunk_rows), "g string, k int, i string, p bigint, s double")
+    local = rows.mapInArrow(_local_cutter(n, chunk_rows), _SCHEMA)
+    final = local.repartition("g").sortWithinPartitions("g").mapInArrow(_final_cutter(n, chunk_rows), "g string, k int, i string, p bigint, s double")
     return final.select(
         F.col("g").alias("group"), F.col("k").alias("pos"), F.col("i").alias("item"),
         F.when(F.col("p") != 2**63 - 1, F.col("p")).alias("priority"), F.col("s").alias("score"),
