@@ -60,6 +60,31 @@ def test_sampling(spark):
         sampling.parse_quota("a=x")
 
 
+def test_quantiles_and_draws_without_sorting_all(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=3001), np.round(rng.random(2000), 2), np.r_[np.zeros(900), 1e-300, 1e9, rng.random(50) * 1e-9], np.array([0.25])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "s double")
+        want = np.quantile(x, [0.0, 0.2, 0.5, 0.8, 1.0])
+        assert np.allclose(sampling.edges(df, "s", [0.0, 0.2, 0.5, 0.8, 1.0]), want, rtol=1e-12, atol=0)
+    assert sampling.edges(spark.createDataFrame([], "s double"), "s", [0.5]) == []
+    df = spark.range(20000).selectExpr("id", "cast(id % 3 as int) as bin")
+    got = {(r.bin, r._k): r.id for r in sampling._first_drawn(df, "bin", 30, ["id"], 42).collect()}
+    all_ = df.select("bin", "id", sampling.draw("id").alias("d")).toPandas().sort_values(["bin", "d"])
+    want = {(b, k + 1): i for b, g in all_.groupby("bin") for k, i in enumerate(g["id"][:30])}
+    assert got == want
+
+
+def test_evaluation_needs_dev_rows(spark):
+    from weft.plans import pipeline
+
+    with pytest.raises(ValueError):
+        pipeline.evaluate(spark.createDataFrame([("s", "test", "match", 0.5)], "system string, split string, gold_label string, score double"))
+    bad = spark.createDataFrame([(0.2, 0.1), (0.1, 0.2), (None, 0.1)], "low double, high double")
+    assert quality.inverted_intervals(bad, "low", "high").count() == 1
+
+
 AND = "anchor_author_norm string, candidate_author_norm string, anchor_coauthors_norm string, candidate_coauthors_norm string, anchor_affiliations_norm string, candidate_affiliations_norm string"
 
 

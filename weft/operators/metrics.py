@@ -122,9 +122,9 @@ def bootstrap(pairs: DataFrame, gold: str, predicted: str, id_: list[str], resam
     """(metric, low, high, n): percentile intervals of six rates over binary-gold pairs.
 
     Resampling n pairs with replacement needs only how often each kind of pair (gold x predicted, at most
-    six) is drawn.  Pairs are folded to these counts first, and a draw picks a kind through its
-    cumulative share with a hash of (seed, resample, draw); so any number of pairs costs one aggregation,
-    and the draws run distributed over the resamples.
+    six) is drawn.  Pairs are folded to these counts first, and each resample draws them from the multinomial
+    distribution with a generator seeded by ``seed`` and its number; so any number of pairs costs one
+    aggregation, and the resamples run distributed.  ``id_`` doesn't take part in it.
     """
     spark = pairs.sparkSession
     binary = pairs.filter(F.col(gold).isin("match", "non-match"))

@@ -40,6 +40,11 @@ def metric_violations(df: DataFrame, rates: list[str]) -> DataFrame:
     return df.agg(*(F.count_if(F.col(c).isNotNull() & ~F.col(c).between(0.0, 1.0)).alias(c) for c in rates))
 
 
+def inverted_intervals(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Rows whose interval ends before it begins; none is expected."""
+    return df.filter(F.col(low).isNotNull() & F.col(high).isNotNull() & (F.col(low) > F.col(high)))
+
+
 def split_overlap(df: DataFrame, split: str) -> DataFrame:
     """Pairs in more than one split; none is expected."""
     return df.groupBy("anchor_id", "candidate_id").agg(F.count_distinct(split).alias("n")).filter("n > 1").select("anchor_id", "candidate_id")

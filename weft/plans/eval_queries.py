@@ -162,16 +162,16 @@ b AS (SELECT anchor_id, candidate_id, score, CAST(len(list_filter(cuts, lambda x
 
 
 def binned_sample(spark, sf_dir):
-    return sampling.per_bin_sample(bins(spark, sf_dir), 100, 500, _IDS)
+    return sampling.per_bin_sample(bins(spark, sf_dir), 1000, 5000, _IDS)
 
 
 _BIN_SAMPLE = f"""{_BINS}, r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY {_DRAW}, anchor_id, candidate_id) AS k FROM b),
-t AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= 100 THEN 0 ELSE 1 END, {_DRAW}, anchor_id, candidate_id) AS t FROM r WHERE k <= 500),
-smp AS (SELECT anchor_id, candidate_id, score, bin FROM t WHERE t <= 500)"""
+t AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= 1000 THEN 0 ELSE 1 END, {_DRAW}, anchor_id, candidate_id) AS t FROM r WHERE k <= 5000),
+smp AS (SELECT anchor_id, candidate_id, score, bin FROM t WHERE t <= 5000)"""
 
 
 def split_sample(spark, sf_dir):
-    return sampling.first_rows_split(binned_sample(spark, sf_dir), 100, ["bin", *_IDS]).select(*_IDS, "split")
+    return sampling.first_rows_split(binned_sample(spark, sf_dir), 1000, ["bin", *_IDS]).select(*_IDS, "split")
 
 
 def strata(spark, sf_dir):
@@ -183,12 +183,12 @@ st AS (SELECT anchor_id, candidate_id, score, CASE WHEN score >= hi THEN 'matchl
 
 
 def quota_sample(spark, sf_dir):
-    return sampling.quota_sample(sampling.strata(_scored(spark, sf_dir), "score"), {"matchlike": 100, "hard": 150, "nonmatchlike": 50}, _IDS).select(*_IDS, "stratum")
+    return sampling.quota_sample(sampling.strata(_scored(spark, sf_dir), "score"), {"matchlike": 250, "hard": 500, "nonmatchlike": 250}, _IDS).select(*_IDS, "stratum")
 
 
 QUOTA_SQL = f"""WITH {_STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {_DRAW}, anchor_id, candidate_id) AS k FROM st),
-t AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= CASE stratum WHEN 'matchlike' THEN 100 WHEN 'hard' THEN 150 ELSE 50 END THEN 0 ELSE 1 END, {_DRAW}, anchor_id, candidate_id) AS t FROM r WHERE k <= 300)
-SELECT anchor_id, candidate_id, stratum FROM t WHERE t <= 300"""
+t AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN k <= CASE stratum WHEN 'hard' THEN 500 ELSE 250 END THEN 0 ELSE 1 END, {_DRAW}, anchor_id, candidate_id) AS t FROM r WHERE k <= 1000)
+SELECT anchor_id, candidate_id, stratum FROM t WHERE t <= 1000"""
 
 
 def uniform_sample(spark, sf_dir):
@@ -381,7 +381,7 @@ QUERIES = {
     "agg25_bootstrap": (bootstrap, None),
     "smp01_bins": (bins, f"WITH {_BINS} SELECT * FROM b"),
     "smp01_bin_sample": (binned_sample, f"WITH {_BIN_SAMPLE} SELECT * FROM smp"),
-    "smp02_split": (split_sample, f"WITH {_BIN_SAMPLE} SELECT anchor_id, candidate_id, CASE WHEN row_number() OVER (ORDER BY bin, anchor_id, candidate_id) <= 100 THEN 'dev' ELSE 'test' END AS split FROM smp"),
+    "smp02_split": (split_sample, f"WITH {_BIN_SAMPLE} SELECT anchor_id, candidate_id, CASE WHEN row_number() OVER (ORDER BY bin, anchor_id, candidate_id) <= 1000 THEN 'dev' ELSE 'test' END AS split FROM smp"),
     "smp03_strata": (strata, f"WITH {_STRATA} SELECT anchor_id, candidate_id, stratum FROM st"),
     "smp04_quota": (quota_sample, QUOTA_SQL),
     "smp05_uniform": (uniform_sample, f"WITH {_SCORED} {_UNIFORM}"),

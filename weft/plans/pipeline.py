@@ -62,7 +62,10 @@ def _matched(task: str, found: DataFrame, nodes: DataFrame, candidates: DataFram
 def evaluate(scored: DataFrame, settings: EvalSettings = EvalSettings()) -> tuple[DataFrame, DataFrame]:
     """(operating points tuned on dev rows, metrics of them on test rows) per system.
 
-    scored: system, split, gold_label, score.  Test rows never take part in tuning."""
+    scored: system, split, gold_label, score.  Test rows never take part in tuning; without dev rows there is
+    nothing to tune on, which is an error."""
+    if scored.filter("split = 'dev'").isEmpty():
+        raise ValueError("no dev rows to tune thresholds on")
     grid = metrics.grid(settings.grid_start, settings.grid_stop, settings.grid_step)
     points = metrics.operating_points(metrics.curve(scored.filter("split = 'dev'"), "score", "gold_label", grid, ["system"]), settings.precision_floor, settings.precision_floor, ["system"])
     test = scored.filter("split = 'test'").join(points, "system")

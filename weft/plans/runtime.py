@@ -11,6 +11,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: set[str] = set()
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clean_up() -> None:
+    """Deletes all intermediate tables of this process from the shared folder; runs at exit by itself.
+
+    Results are lazy and read them, so nothing may read a result afterwards."""
+    while _ROOTS:
+        spark, path = _ROOTS.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone already
+            return
+
+
+atexit.register(clean_up)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append((spark, self.root))
         self.count = 0
         self.paths: dict[int, str] = {}
 
@@ -57,9 +79,7 @@ class Scratch:
         for df in frames:
             path = self.paths.pop(id(df), None)
             if path:
-                jvm = self.spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(self.spark, path)
 
 
 def default_parallelism(spark: SparkSession) -> int:
