@@ -69,3 +69,12 @@ def test_forward_sums_all_segmentations():
                 total += np.prod([table.get(p, model.other) for p in parts], axis=0)
         assert model.forward(word) == pytest.approx(np.log(total))
     assert math.isfinite(model.forward("ab" * 3000)[0])
+
+
+def test_forward_of_many_words_is_that_of_each():
+    rng = np.random.default_rng(5)
+    pieces = ["▁", "a", "b", "ab", "ba", "abb", "▁a", "▁ab", "bab", "aabba"]
+    model = langid.Unigrams({p: rng.uniform(1e-4, 0.2, 7) for p in pieces}, np.full(7, 1e-7))
+    words = ["".join(rng.choice(list("abc"), rng.integers(0, 60))) for _ in range(400)]
+    many = langid.Forward(model).scores(words)
+    assert np.allclose(many, [model.forward(w) for w in words], rtol=1e-9)

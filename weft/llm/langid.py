@@ -80,6 +80,55 @@ class Unigrams:
         return logs + np.log(np.maximum(alpha[n], 1e-300))
 
 
+class Forward:
+    """``Unigrams.forward`` of many words at once: words of one length go through the positions together."""
+
+    LETTERS = 40  # products of so many probabilities don't underflow; longer words go one by one
+
+    def __init__(self, model: Unigrams):
+        self.model = model
+        self.rows = np.array([*model.table.values(), model.other]).reshape(-1, len(model.other))
+        self.nodes: dict[str, int] = {}  # piece to its row, beginning of a piece to -1
+        for p in model.table:
+            for k in range(1, len(p)):
+                self.nodes.setdefault(p[:k], -1)
+        self.nodes |= {p: i for i, p in enumerate(model.table)}
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), self.rows.shape[1]))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for i, w in enumerate(words):
+            by_length[len(w)].append(i)
+        for n, places in by_length.items():
+            if n > self.LETTERS:
+                for i in places:
+                    out[i] = self.model.forward(words[i])
+            else:
+                out[places] = self._same_length([_START + words[i] for i in places], n + 1)
+        return out
+
+    def _same_length(self, texts: list[str], n: int) -> np.ndarray:
+        arcs: dict[tuple[int, int], tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        nodes, other = self.nodes, len(self.rows) - 1
+        for b, text in enumerate(texts):
+            for i in range(n):
+                for j in range(i + 1, n + 1):
+                    row = nodes.get(text[i:j])
+                    if row is None:
+                        if j == i + 1:
+                            found = arcs[i, j]
+                            found[0].append(b), found[1].append(other)
+                        break
+                    if row >= 0 or j == i + 1:
+                        found = arcs[i, j]
+                        found[0].append(b), found[1].append(row if row >= 0 else other)
+        alpha = np.zeros((n + 1, len(texts), self.rows.shape[1]))
+        alpha[0] = 1.0
+        for (i, j), (b, rows) in sorted(arcs.items()):
+            alpha[j][b] += alpha[i][b] * self.rows[rows]
+        return np.log(np.maximum(alpha[n], 1e-300))
+
+
 def fit(counts: list[tuple[str, str, int]], pieces: frozenset[str], rounds: int = 2, strength: float = 300.0) -> Unigrams:
     """Piece probabilities from (language, word, count) by expectation-maximisation.
 
@@ -144,9 +193,11 @@ def real_word(word: str) -> bool:
 
 def _scorer(model):
     def run(batches):
+        forward = Forward(model)
         for batch in batches:
-            scores = [model.forward(w).tolist() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.list_(pa.float64()))], ["word", "n", "scores"])
+            found = forward.scores(batch.column(0).to_pylist())
+            ends = pa.array(np.arange(0, found.size + 1, found.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(found.ravel()))], ["word", "n", "scores"])
 
     return run
 
