@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weft.functions import text
 from weft.llm.components import components
 from weft.llm import langid, lookalikes, names, packing, tokenizer
 from weft.llm.terms import gram_counts, marked
@@ -224,9 +225,28 @@ def p1_clusters(spark, sf_dir):
     return people.unionByName(orgs)
 
 
+def p1_record_names(spark, sf_dir):
+    """Every name of ``Authors`` and ``Author full names`` and every organisation of ``Affiliations`` in the
+    records, with its cluster; an organisation is a piece of an element that the list of spellings has."""
+    r = table(spark, sf_dir, "records_normalised")
+    at = ["source_file", "row_id_in_file"]
+    fields = {"Authors": ";", "Author full names": ";"}
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), text.split_list(F.col(f"`{f}`"), sep).alias("items")) for f, sep in fields.items()))
+    listed = r.select(*at, F.explode(cells).alias("x")).select(*at, "x.field", F.posexplode("x.items").alias("pos", "raw"))
+    spelled = listed.select("raw").distinct().select(F.col("raw").alias("key"), "raw", F.lit("").alias("id"))
+    people = names.link_people(spelled, "key", "raw", "id", table(spark, sf_dir, "given_name_aliases"), "alias", "given_name").withColumnRenamed("key", "raw")
+    elements = r.select(*at, F.posexplode(text.split_list(F.col("Affiliations"))).alias("pos", "element"))
+    pieces = elements.select(*at, "pos", F.explode(text.split_list(F.col("element"), ",")).alias("affil_text"))
+    spellings = table(spark, sf_dir, "affil_spellings").select("spelling_id", "affil_text").join(_organisations(spark, sf_dir), "spelling_id")
+    orgs = pieces.join(spellings, "affil_text").select(*at, F.lit("Affiliations").alias("field"), "pos", F.col("affil_text").alias("raw"), "cluster")
+    found = listed.join(people, "raw").select(*at, "field", "pos", "raw", "cluster").unionByName(orgs)
+    return found.withColumn("cluster", F.sha2("cluster", 256))
+
+
 QUERIES = {
     "p1_found": (p1_found, None),
     "p1_clusters": (p1_clusters, None),
+    "p1_record_names": (p1_record_names, None),
     "p3_found": (p3_found, None),
     "p3_cells": (p3_cells, None),
     "p9_found": (p9_found, None),
