@@ -192,3 +192,17 @@ def test_tfidf(spark):
     pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("1", "4")], "anchor_id string, candidate_id string")
     got = {r.candidate_id: r.score for r in tfidf.pair_cosine(pairs, tfidf.vectors(texts)).collect()}
     assert got["2"] == pytest.approx(1.0) and got["3"] == 0.0 and got["4"] == 0.0
+
+
+def test_baselines(spark):
+    from weft.operators import baselines
+
+    row = ("p", "q", "doe j", "doe j", "lab a", "lab a", "1", None, ["x"], ["x"], 2000, None)
+    names = "anchor_id, candidate_id, a_author_norm, c_author_norm, a_record_affil_prefix, c_record_affil_prefix, a_author_id, c_author_id, a_coauthor_keys, c_coauthor_keys, a_year_int, c_year_int".split(", ")
+    types = ["string"] * 8 + ["array<string>"] * 2 + ["int"] * 2
+    df = spark.createDataFrame([row], ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+    got = {r.system: (round(r.score, 9), r.auxiliary) for r in baselines.run(df, "AND").collect()}
+    assert got == {"context": (0.45, False), "deterministic": (1.0, False), "fuzzy": (0.8, False), "same_id": (0.0, True)}
+    assert baselines.run(df.limit(0), "AND").count() == 0
+    with pytest.raises(ValueError):
+        baselines.run(df, "AND", ["nobody"])

@@ -64,7 +64,7 @@ def token_set_of(a: str, b: str) -> float:
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([None if x is None else ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -75,7 +75,8 @@ def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio(a: Column, b: Column) -> Column:
     """1 - (insertions + deletions) / (both lengths); 1.0 for two empty texts."""
     x, y = blank_if_null(a), blank_if_null(b)
-    return F.when(x == y, 1.0).otherwise(_ratio(x, y))
+    differ = x != y  # equal texts reach the Arrow function as null, as a condition around it wouldn't skip it
+    return F.coalesce(_ratio(F.when(differ, x), F.when(differ, y)), F.lit(1.0))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import text
-from weft.operators import decisions, evidence, graph, guards, joins, labelling, metrics, quality, reports
-from weft.operators.blocking import affiliation_pairs
-from weft.operators.mentions import affiliation_mentions
+from weft.operators import baselines, decisions, evidence, graph, guards, joins, labelling, metrics, quality, reports
+from weft.operators.blocking import affiliation_pairs, with_sides
+from weft.operators.mentions import affiliation_mentions, unique_instances
 from weft.plans import eval_queries as ev
 from weft.plans import match_queries as mq
 from weft.plans.runtime import table
-from weft.plans.text_queries import LIST, STRIP, STRIP_ID
+from weft.plans.text_queries import JACCARD, LIST, STRIP, STRIP_ID
 from weft.sources import tables
 
 _LOG = mq._LOG
@@ -197,7 +197,42 @@ def evidence_items(spark, sf_dir):
     return items.withColumn("fired", F.array_join(guards.fired_categories(F.array("item"), "AND"), "|"))
 
 
+NATIVE = ["context", "deterministic", "same_id"]
+
+
+def _baseline_sides(spark, sf_dir):
+    one = unique_instances(table(spark, sf_dir, "author_instances"))
+    pairs = table(spark, sf_dir, "candidates_and").select("anchor_id", "candidate_id").distinct()
+    return with_sides(pairs, one, "author_instance_id", ["author_norm", "author_id", "coauthor_keys", "record_affil_prefix", "year_int"])
+
+
+def native_baselines(spark, sf_dir):
+    """Candidate pairs by every baseline without a subsequence ratio, as one long table."""
+    return baselines.run(_baseline_sides(spark, sf_dir), "AND", NATIVE).withColumn("score", F.round("score", 9))
+
+
+def all_baselines(spark, sf_dir):
+    return baselines.run(_baseline_sides(spark, sf_dir), "AND").withColumn("score", F.round("score", 9))
+
+
+BASELINES_SQL = f"""WITH {mq._ONE}, p AS (SELECT DISTINCT anchor_id, candidate_id FROM candidates_and),
+s AS (SELECT anchor_id, candidate_id, coalesce(a.author_norm <> '' AND a.author_norm = c.author_norm, false) AS same_name, coalesce(a.record_affil_prefix <> '' AND a.record_affil_prefix = c.record_affil_prefix, false) AS same_prefix,
+ coalesce(a.author_id <> '' AND a.author_id = c.author_id, false) AS same_id, {JACCARD('a.coauthor_keys', 'c.coauthor_keys')} AS j FROM p JOIN one a ON a.author_instance_id = anchor_id JOIN one c ON c.author_instance_id = candidate_id)
+SELECT anchor_id, candidate_id, 'context' AS system, round(0.35::DOUBLE * j + 0.10::DOUBLE * CAST(same_prefix AS DOUBLE), 9) AS score, false AS auxiliary FROM s
+UNION ALL SELECT anchor_id, candidate_id, 'deterministic', CASE WHEN same_name AND same_prefix THEN 1.0 WHEN same_name THEN 0.5 ELSE 0.0 END, false FROM s
+UNION ALL SELECT anchor_id, candidate_id, 'same_id', CAST(same_id AS DOUBLE), true FROM s"""
+
+
+def benchmark_candidates(spark, sf_dir):
+    """Candidates whose anchor is an anchor of the benchmark."""
+    anchors = mq.benchmark(spark, sf_dir).filter("split = 'dev'").select("anchor_id").distinct()
+    return table(spark, sf_dir, "candidates_and").join(anchors, "anchor_id", "left_semi").groupBy("anchor_id", "candidate_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
+    "udf03_baselines": (native_baselines, BASELINES_SQL),
+    "udf03_all_baselines": (all_baselines, None),
+    "flt11_benchmark_candidates": (benchmark_candidates, f"WITH {mq._BENCH} SELECT anchor_id, candidate_id, count(*) AS n FROM candidates_and WHERE anchor_id IN (SELECT anchor_id FROM bench WHERE split = 'dev') GROUP BY anchor_id, candidate_id"),
     "jn11_benchmark_routing": (benchmark_routing, _JOINED),
     "jn13_gold_mismatches": (gold_mismatches, f"WITH {mq._BENCH}, {_ROUTE} SELECT b.anchor_id, b.candidate_id, gold_label AS \"left\", label_final AS \"right\" FROM bench b JOIN rt ON rt.anchor_id = b.anchor_id AND rt.candidate_id = b.candidate_id WHERE gold_label IS DISTINCT FROM label_final"),
     "jn16_with_ranks": (with_ranks, f"WITH {mq._BENCH}, {_ROUTE}, rk AS ({mq.RANKED_SQL.strip()}) SELECT b.*, coalesce(label_final, 'uncertain') AS label_final, coalesce(rank, 2147483647) AS rank FROM bench b LEFT JOIN rt ON rt.anchor_id = b.anchor_id AND rt.candidate_id = b.candidate_id LEFT JOIN rk ON rk.anchor_id = b.anchor_id AND rk.candidate_id = b.candidate_id"),
