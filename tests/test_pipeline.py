@@ -52,3 +52,34 @@ def test_evaluate(spark):
     rows = [("s", split, "match" if i > 5 else "non-match", i / 10) for i in range(10) for split in ("dev", "test")]
     points, suite = pipeline.evaluate(spark.createDataFrame(rows, "system string, split string, gold_label string, score double"))
     assert points.first().achieved_floor and {r.method: r.f1_match for r in suite.collect()} == {"f1_optimal": 1.0, "precision_floor": 1.0, "two_threshold": 1.0}
+
+
+def test_match_affiliations(spark):
+    m = pipeline.match_affiliations(records(spark))
+    assert m.mentions.count() == 3 and m.candidates.count() == 2  # Lab A twice, one each way
+    assert {(r.best_pass_id, r.score > 0.8) for r in m.candidates.collect()} == {("ain_tok3", True)}
+    assert {r.label_final for r in m.routed.collect()} == {"uncertain"} and m.entities.select("entity_id").distinct().count() == 3
+    decided = m.candidates.select("anchor_id", "candidate_id", F.lit("match").alias("label"), F.lit(0.95).alias("confidence"), F.array(F.lit("affil_string"), F.lit("acronym")).alias("evidence_used"), F.lit(None).cast("string").alias("error"))
+    assert pipeline.match_affiliations(records(spark), decided).entities.select("entity_id").distinct().count() == 2
+
+
+def test_context_candidates_are_the_best_of_all_pairs(spark):
+    """Without making all pairs of a block the best k are the same, whatever is null, tied or repeated."""
+    import random
+
+    from weft.functions import similarity as sim
+    from weft.operators import blocking, mentions
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(260):
+        key = rng.choice(["doe|j", "doe|j", "roe|a", "", None])
+        row = (f"i{i:03}", rng.choice(["", "", "", "7", None]), key, rng.choice([None, 2000, 2004, 2009, 2016]), rng.choice(["lab a", "lab b", "", None]), rng.choice([None, [], ["x|a"], ["x|a", "y|b"], ["z|c"]]), rng.random() < 0.05, "n", "q", "r", i)
+        rows += [row] * rng.choice([1, 1, 1, 2])
+    df = spark.createDataFrame(rows, "author_instance_id string, author_id string, name_key string, year_int int, record_affil_prefix string, coauthor_keys array<string>, truncation_flag boolean, author_norm string, query_frame string, record_id string, author_pos int")
+    unique = mentions.unique_instances(df)
+    for k in (3, 20):
+        fast = blocking.author_context_candidates(df, unique, k)
+        slow = blocking.author_candidates(df, unique, ["coauthor_keys", "record_affil_prefix"], sim.and_context_score("a_", "c_"), k)
+        columns = ["anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", "score", "rank"]
+        assert sorted(map(tuple, fast.select(columns).collect())) == sorted(map(tuple, slow.select(columns).collect()))
