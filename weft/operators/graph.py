@@ -118,3 +118,15 @@ def cluster_sizes(members: DataFrame) -> DataFrame:
     """One row: clusters, singletons, largest, members."""
     sizes = members.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("num_clusters"), F.count_if(F.col("n") == 1).alias("num_singletons"), F.max("n").alias("largest"), F.sum("n").alias("members"))
+
+
+def size_distribution(members: DataFrame) -> DataFrame:
+    """(size, clusters): how many clusters have each size."""
+    sizes = members.groupBy("entity_id").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("clusters"))
+
+
+def largest_clusters(members: DataFrame, n: int = 20) -> DataFrame:
+    """(entity_id, size) of the n largest clusters, ties by id."""
+    sizes = members.groupBy("entity_id").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.orderBy(F.col("size").desc(), "entity_id").limit(n)

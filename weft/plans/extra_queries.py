@@ -56,8 +56,10 @@ def label_lookup(spark, sf_dir):
 
 
 def shared_splits(spark, sf_dir):
-    b = mq.benchmark(spark, sf_dir)
-    return joins.shared_pairs(joins.split_part(b, "dev"), joins.split_part(b, "test"))
+    """Pairs in both splits if rows of the log, not pairs, are split: those decided twice."""
+    half = F.when(F.md5(F.coalesce("timestamp", F.lit(""))) < "8", "dev").otherwise("test")
+    log = table(spark, sf_dir, _LOG).select("anchor_id", "candidate_id", half.alias("split"))
+    return joins.shared_pairs(joins.split_part(log, "dev"), joins.split_part(log, "test"))
 
 
 def nodes(spark, sf_dir):
@@ -242,7 +244,7 @@ QUERIES = {
         f"SELECT anchor_id, candidate_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY anchor_id, candidate_id) AS k FROM (SELECT *, CASE WHEN gold_label = 'uncertain' AND routed IN ('match', 'non-match') THEN 'gold_uncertain_but_decided' WHEN gold_label = 'match' AND routed IS DISTINCT FROM 'match' THEN 'gold_match_missed' WHEN gold_label = 'non-match' AND routed IS DISTINCT FROM 'non-match' THEN 'gold_nonmatch_missed' END AS kind FROM ({_DIAG})) WHERE kind IS NOT NULL) WHERE k <= 20",
     ),
     "jn21_label_lookup": (label_lookup, f"WITH {mq._BENCH} SELECT r.anchor_id, r.candidate_id, timestamp, run_id, gold_label FROM {_LOG} r JOIN bench b ON b.anchor_id = r.anchor_id AND b.candidate_id = r.candidate_id"),
-    "set02_shared_splits": (shared_splits, f"WITH {mq._BENCH} SELECT anchor_id, candidate_id FROM bench WHERE split = 'dev' INTERSECT SELECT anchor_id, candidate_id FROM bench WHERE split = 'test'"),
+    "set02_shared_splits": (shared_splits, f"SELECT anchor_id, candidate_id FROM {_LOG} WHERE md5(coalesce(timestamp, '')) < '8' INTERSECT SELECT anchor_id, candidate_id FROM {_LOG} WHERE md5(coalesce(timestamp, '')) >= '8'"),
     "set03_nodes": (nodes, f"SELECT anchor_id AS node FROM {_LOG} UNION SELECT candidate_id FROM {_LOG}"),
     "rul10_variants": (variants, VARIANTS_SQL),
     "rul08_all_methods": (all_methods, ALL_METHODS_SQL),

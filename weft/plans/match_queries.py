@@ -397,10 +397,11 @@ def unknown_ids(spark, sf_dir):
     from weft.operators.evidence import unknown_ids as run
 
     pairs = table(spark, sf_dir, _LOG).select("anchor_id", "candidate_id").distinct()
-    return run(pairs, table(spark, sf_dir, "author_instances"), "author_instance_id")
+    dated = table(spark, sf_dir, "author_instances").filter("year_int > 2015")  # else no id is unknown in these tables
+    return run(pairs, dated, "author_instance_id")
 
 
-UNKNOWN_SQL = f"""WITH k AS (SELECT DISTINCT author_instance_id AS id FROM author_instances)
+UNKNOWN_SQL = f"""WITH k AS (SELECT DISTINCT author_instance_id AS id FROM author_instances WHERE year_int > 2015)
 SELECT * FROM (SELECT anchor_id, candidate_id, anchor_id IN (SELECT id FROM k) AS anchor_known, candidate_id IN (SELECT id FROM k) AS candidate_known FROM (SELECT DISTINCT anchor_id, candidate_id FROM {_LOG})) WHERE NOT (anchor_known AND candidate_known)"""
 
 # ---------------------------------------------------------------- entities
@@ -470,6 +471,14 @@ QUERIES = {
         SELECT conf.entity_id, any_value(num_members) AS num_members, count(*) AS num_conflicts, any_value(sample_edges) AS sample_edges
         FROM conf JOIN (SELECT entity_id, count(*) AS num_members FROM mem GROUP BY entity_id) z ON z.entity_id = conf.entity_id JOIN s ON s.entity_id = conf.entity_id GROUP BY conf.entity_id""",
     ),
+    "agg09_size_distribution": (
+        lambda spark, d: graph.size_distribution(entities(spark, d)),
+        _REACH + " SELECT size, count(*) AS clusters FROM (SELECT entity_id, count(*) AS size FROM mem GROUP BY entity_id) GROUP BY size",
+    ),
+    "agg09_largest": (
+        lambda spark, d: graph.largest_clusters(entities(spark, d)),
+        _REACH + " SELECT entity_id, count(*) AS size FROM mem GROUP BY entity_id ORDER BY size DESC, entity_id LIMIT 20",
+    ),
     "agg09_cluster_sizes": (
         lambda spark, d: graph.cluster_sizes(entities(spark, d)),
         _REACH + " SELECT count(*) AS num_clusters, count(*) FILTER (n = 1) AS num_singletons, max(n) AS largest, CAST(sum(n) AS BIGINT) AS members FROM (SELECT entity_id, count(*) AS n FROM mem GROUP BY entity_id)",
