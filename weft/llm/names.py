@@ -289,8 +289,9 @@ def person_names(raws: DataFrame, scratch: Scratch) -> DataFrame:
         unsure = unsure.join(seen.select(F.col("t").alias(f"{p}t"), F.col("f").alias(f"{p}f"), F.col("g").alias(f"{p}g")), f"{p}t", "left")
     last = leaning("1") >= leaning("2")
     chosen = unsure.select("raw", F.when(last, F.col("family")).otherwise(F.col("family2")).alias("family"), F.when(last, F.col("given")).otherwise(F.col("given2")).alias("given"))
-    names = parsed.filter("family2 is null").select("raw", "family", "given").unionByName(chosen)
-    return scratch.keep(names)
+    names = scratch.keep(parsed.filter("family2 is null").select("raw", "family", "given").unionByName(chosen))
+    scratch.drop(parsed, seen)
+    return names
 
 
 def mined_aliases(mentions: DataFrame, support: int = MINED_SUPPORT) -> DataFrame:
@@ -399,9 +400,11 @@ def link_people(mentions: DataFrame, key: str, raw: str, person_id: str, aliases
     distinct = formed.select("form", F.col("first").alias("name")).distinct().join(short, "name", "left")
     forms = distinct.select("form", F.concat(F.coalesce(F.substring("name", 1, 1), F.lit("")), F.coalesce("others", F.lit(""))).alias("starts"))
     vectors = gram_vectors(formed.select("family").distinct())
-    scored = _meet(scratch.keep(_postings(forms))).mapInPandas(_person_scorer(vectors), "a string, b string, s double")
+    postings = scratch.keep(_postings(forms))
+    scored = _meet(postings).mapInPandas(_person_scorer(vectors), "a string, b string, s double")
     copies = rows.join(formed, "raw").groupBy("form").agg(F.count(F.lit(1)).alias("n"))
     clusters = average_linkage(scored.groupBy("a", "b").agg(F.max("s").alias("s")), copies, link)
+    scratch.drop(postings)  # the edges are written, nothing reads it any more
     labelled = rows.join(formed.select("raw", "form"), "raw", "left").join(clusters.withColumnRenamed("node", "form"), "form", "left")
     alone = F.concat(F.lit("\x1e"), "key")
     empty = F.col("form").isNull() | (F.col("form") == "")
