@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weft.functions import similarity as sim
-from weft.operators import blocking, decisions, graph, guards, mentions, metrics
+from weft.operators import best_pairs, blocking, decisions, graph, guards, mentions, metrics
 from weft.plans.runtime import table
 from weft.plans.text_queries import JACCARD, LIST, NORMALISED, SIDES, SP, TOKENS, WORDS, _ACRONYM_SQL, distinct_list
 
@@ -92,8 +92,7 @@ SELECT anchor_id, candidate_id, best_pass_id, best_block_key, pass_priority, rou
 def author_candidates(spark, sf_dir):
     """The full candidate table: names compared by subsequence ratio."""
     i = table(spark, sf_dir, "author_instances")
-    columns = ["coauthor_keys", "record_affil_prefix", "year_int", "query_frame"]
-    ranked = blocking.author_candidates(i, mentions.unique_instances(i), columns, sim.and_score("a_", "c_", F.col("name_ratio")))
+    ranked = best_pairs.best_pairs(i, blocking.TOP_K, blocking.YEAR_WINDOW, with_names=True)
     return ranked.select(
         F.lit("AND").alias("task"), "anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.round("score", 6).alias("similarity_score"), "rank",
         F.abs(F.col("a_year_int") - F.col("c_year_int")).alias("year_diff"), F.col("a_query_frame").alias("query_frame_anchor"), F.col("c_query_frame").alias("query_frame_candidate"),
