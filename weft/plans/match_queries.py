@@ -76,7 +76,7 @@ def author_pairs(spark, sf_dir):
 def blocking_topk(spark, sf_dir):
     """Candidate pairs with their native score, the best 50 per anchor."""
     i = table(spark, sf_dir, "author_instances")
-    ranked = blocking.author_context_candidates(i, mentions.unique_instances(i))
+    ranked = best_pairs.best_pairs(i, blocking.TOP_K, blocking.YEAR_WINDOW, with_names=False)
     return ranked.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority", F.round("score", 6).alias("similarity_score"), "rank")
 
 
