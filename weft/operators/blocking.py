@@ -2,7 +2,7 @@
 
 Every pass is an equi-join on a key column, so Catalyst picks the join and adaptive execution splits
 skewed keys; the passes are unioned and each pair keeps its best pass in one aggregation, which combines
-before the shuffle; the per-anchor limit is a window that Spark cuts early (WindowGroupLimit).
+before the shuffle (``author_pairs``, whose result is all pairs, tells it from the keys); the per-anchor limit is a window that Spark cuts early (WindowGroupLimit).
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from weft.functions import similarity as sim
 from weft.functions import text
-from weft.plans.runtime import Scratch
+from weft.plans.runtime import Scratch, default_parallelism
 
 #: Ids are long texts; pairs are made of 8-byte numbers in the order of the ids and named at the end.
 YEAR_WINDOW = 5
 TOP_K = 50
 BLOCK_CAP = 50
+#: Rows of a block that one task takes on either side, where pairs aren't shuffled; tasks per shuffle partition.
+CELL, CELL_PARTS = 4096, 4
 
 
 def pass_pairs(anchors: DataFrame, candidates: DataFrame, key: str, id_: str, pass_id: str, priority: int, prefix: str, keep: Column | None = None) -> DataFrame:
@@ -69,10 +71,63 @@ def with_names(df: DataFrame, columns: list[str], numbers: DataFrame) -> DataFra
 
 def author_pairs(instances: DataFrame, year_window: int = YEAR_WINDOW) -> DataFrame:
     """Pairs of eligible (not truncated) author instances by id, by name key within years, and by name
-    key and affiliation prefix."""
-    numbers = numbered(instances.select("author_instance_id"))
-    pairs = author_number_pairs(with_numbers(instances, "author_instance_id", numbers), year_window)
-    return with_names(pairs, ["anchor_id", "candidate_id"], numbers)
+    key and affiliation prefix.
+
+    Pairs are never shuffled: whether a pair belongs to an earlier pass or block is told from the keys of its
+    two sides, so each pair is made once, where it belongs.  An id with several keys has all of them with it."""
+    keys = F.struct("author_id", "name_key", "year_int", "name_affil")
+    one = _eligible(instances).filter("id is not null").groupBy("id").agg(F.collect_set(keys).alias("own"))
+    texts = lambda key: F.array_distinct(F.filter(F.transform("own", lambda x: x[key]), lambda x: x != ""))
+    one = one.select("id", "own", (F.size("own") == 1).alias("single"), texts("author_id").alias("ids"), texts("name_key").alias("names"), texts("name_affil").alias("affils"))
+
+    out = None
+    for priority, pass_id, prefix, key in ((1, "pass1_author_id", "author_id:", "ids"), (2, "pass2_name_key", "name_key:", "names"), (3, "pass3_name_key_affil", "name_key_affil:", "affils")):
+        rows = one.select("id", "own", "single", "ids", "affils", F.explode(key).alias("key"))
+        large = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells")).filter("cells > 1")
+        rows = rows.join(F.broadcast(large), "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))  # at most one key for CELL rows
+        plain = rows.filter("single").select("id", "key", "cells", F.col("own")[0].alias("o")).select("id", "key", "cells", F.nullif("o.author_id", F.lit("")).alias("author_id"), F.nullif("o.name_key", F.lit("")).alias("name_key"), F.col("o.year_int").alias("year_int"))
+        for a, c, belongs in (
+            (plain, plain, _plain_belongs(priority, year_window)),
+            (rows.filter("not single"), rows, _belongs(priority, year_window)),
+            (rows.filter("single"), rows.filter("not single"), _belongs(priority, year_window)),
+        ):
+            found = _cell_pairs(a, c, belongs, prefix).withColumns({"best_pass_id": F.lit(pass_id), "pass_priority": F.lit(priority)})
+            out = found if out is None else out.unionByName(found)
+    return out.select("anchor_id", "candidate_id", "best_pass_id", "best_block_key", "pass_priority")
+
+
+def _cell_pairs(anchors: DataFrame, candidates: DataFrame, belongs: Column, prefix: str) -> DataFrame:
+    """(anchor_id, candidate_id, best_block_key) of rows (id, key, cells, ...) with a common key for which
+    ``belongs`` holds.  A block is cut into cells x cells parts on both sides, so its pairs are made in many tasks."""
+    parts = CELL_PARTS * default_parallelism(anchors.sparkSession)
+    own, all_ = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    a = anchors.withColumn("block", F.concat(F.lit(prefix), "key")).withColumn("i", own).withColumn("j", all_)
+    c = candidates.withColumn("j", own).withColumn("i", all_)
+    a, c = (x.drop("cells").repartition(parts, "key", "i", "j").alias(n) for x, n in ((a, "a"), (c, "c")))
+    same = (F.col("a.key") == F.col("c.key")) & (F.col("a.i") == F.col("c.i")) & (F.col("a.j") == F.col("c.j"))
+    pairs = a.hint("merge").join(c, same & (F.col("a.id") != F.col("c.id")) & belongs)
+    return pairs.select(F.col("a.id").alias("anchor_id"), F.col("c.id").alias("candidate_id"), F.col("a.block").alias("best_block_key"))
+
+
+def _plain_belongs(priority: int, window: int) -> Column:
+    """Whether a pair of ids with one set of keys each is of this pass and no earlier one; '' is null in them."""
+    no_id = F.coalesce(F.col("a.author_id") != F.col("c.author_id"), F.lit(True))
+    no_name = F.coalesce(F.col("a.name_key") != F.col("c.name_key"), F.lit(True))
+    return {1: F.lit(True), 2: no_id & within_years(window), 3: no_id & (no_name | ~within_years(window))}[priority]
+
+
+def _belongs(priority: int, window: int) -> Column:
+    """The same for ids with any number of keys; of several blocks of the pass the pair is of the first."""
+    first = lambda x: F.col("a.key") == F.array_min(F.array_intersect(f"a.{x}", f"c.{x}"))
+    if priority == 1:
+        return first("ids")
+
+    def meets(x):
+        near = lambda y: x["year_int"].isNull() | y["year_int"].isNull() | (F.abs(x["year_int"] - y["year_int"]) <= window)
+        return (x["name_key"] != "") & F.exists("c.own", lambda y: F.coalesce((y["name_key"] == x["name_key"]) & near(y), F.lit(False)))
+
+    no_id, names = ~F.arrays_overlap("a.ids", "c.ids"), F.transform(F.filter("a.own", meets), lambda x: x["name_key"])
+    return no_id & (F.col("a.key") == F.array_min(names)) if priority == 2 else no_id & (F.size(names) == 0) & first("affils")
 
 
 def _eligible(instances: DataFrame) -> DataFrame:
