@@ -53,3 +53,19 @@ def test_ratios_of_a_group():
     group = best_pairs.Names(names)
     for i in range(len(names)):
         assert group.ratios(i).tolist() == [sim.ratio_of(names[i], x) for x in names]
+
+
+def test_only_ids_that_may_repeat_are_brought_together(spark):
+    df = instances(spark, 200, True, random.Random(5))
+    buckets = best_pairs._again(df)
+    assert 0 < buckets.count() < 200
+    everything = df.select(best_pairs._bucket()).distinct()
+    rows = [sorted(map(str, best_pairs._rows(df, "author_norm", x).collect())) for x in (buckets, everything)]
+    assert rows[0] == rows[1]
+
+
+def test_ids_are_short_on_the_way(spark):
+    texts = ["", "a", "ab", "AB", "é", "00", "0g", "ab" * 32, "abc"]
+    short = best_pairs._short(F.col("x"))
+    got = spark.createDataFrame([(x,) for x in texts], "x string").select("x", F.length(short).alias("n"), best_pairs._long(short).alias("y")).collect()
+    assert [r.y for r in got] == texts and got[7].n == 33

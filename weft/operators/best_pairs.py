@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions.similarity import ratio_of
 from weft.operators.mentions import INSTANCE_ORDER
-from weft.plans.runtime import default_parallelism
+from weft.plans.runtime import Scratch, default_parallelism
 
 #: Anchors of a group that one task works on.
 SLICE = 8192
@@ -27,6 +27,8 @@ CHUNK_ROWS = 20_000
 FEW_IDS, FEW_NAMES = 200, 24
 #: Parts per shuffle partition, as the work of a part isn't told by its bytes.
 PARTS = 4
+#: Ids that may come several times are told by the bucket of their hash; this many buckets at most go to every task.
+BUCKETS = 1 << 20
 _ROW = "id string, author_id string, name_key string, year int, prefix string, u_coauthors array<string>, u_prefix string, u_name string, u_year int, u_frame string"
 _FIRST = "first array<struct<id: string, score: double, year: int, frame: string>>"
 _OUT = "anchor_id string, candidate_id string, best_pass_id string, best_block_key string, pass_priority int, score double, rank int, a_year_int int, c_year_int int, a_query_frame string, c_query_frame string"
@@ -180,6 +182,7 @@ class Group:
         self.plain = self.repeated or self.size <= max(FEW_IDS, c.k)
         self.everyone = np.arange(self.size)
         self.known: dict = {}
+        self.found: dict = {}
         self.last_name = -1
         if not self.plain:
             self.same = {x: self._places(y) for x, y in (("u", self.u_prefix), ("e", self.prefix))}
@@ -233,6 +236,57 @@ class Group:
         ids = np.flatnonzero(self.near(year, self.year))
         return _leading(ids, base[self.name[ids]], n)
 
+    def _shared(self, a: int):
+        """(ids with a common co-author, how many are common) of anchor a."""
+        row = self.rows[a]
+        own = np.searchsorted(self.people, self.c.co[self.c.co_at[row] : self.c.co_at[row + 1]])
+        parts = [self.posted[self.posted_at[i] : self.posted_at[i + 1]] for i in own]
+        if len(parts) < 2:  # an id is posted once for each of its co-authors
+            ids = parts[0] if parts else self.posted[:0]
+            return ids, np.ones(len(ids), np.int64)
+        ids = np.concatenate(parts)
+        if 4 * len(ids) < self.size:
+            return np.unique(ids, return_counts=True)
+        times = np.bincount(ids)
+        ids = np.flatnonzero(times)
+        return ids, times[ids]
+
+    def _scores(self, a: int, ids: np.ndarray, shared: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """Scores of ascending ids, which hold all of shared."""
+        base, both = self.base(a), np.zeros(len(ids), np.int64)
+        both[np.searchsorted(ids, shared)] = times
+        union = self.count[a] + self.count[ids] - both
+        score = 0.35 * np.where(union > 0, both / np.maximum(union, 1), 0.0)
+        score = score + 0.10 * ((self.u_prefix[ids] == self.u_prefix[a]) & (self.u_prefix[a] >= 0))
+        return score if base is None else base[self.name[ids]] + score
+
+    def enough_near(self, a: int) -> bool:
+        """Whether so many ids are within the years of anchor a that no other can be among its k best."""
+        year = int(self.year[a])
+        if not self.plain and ("many", year) not in self.found:
+            self.found["many", year] = int(self.near(year, self.year).sum())
+        return not self.plain and self.found["many", year] > self.c.k
+
+    def leading_near(self, a: int):
+        """(ids, scores) of the first k + 1 of the ids within the years of anchor a, which may be one of them."""
+        c, row, n, year = self.c, self.rows[a], self.c.k + 1, int(self.year[a])
+        same = (year, int(self.u_prefix[a]), int(self.name[a]) if c.with_names else -1, c.co[c.co_at[row] : c.co_at[row + 1]].tobytes())
+        if same not in self.found:
+            base = self.base(a)
+            shared, times = self._shared(a)
+            near = self.near(year, self.year[shared])
+            shared, times = shared[near], times[near]
+            own = self.same["u"].get(same[1], self.posted[:0])
+            own = own[self.near(year, self.year[own])]
+            own = _leading(own, None if base is None else base[self.name[own]], n)
+            ids = np.unique(np.concatenate([shared, own, self._nearest(year, base)]))
+            score = self._scores(a, ids, shared, times)
+            if len(ids) > n:
+                kept = np.sort(_leading(np.arange(len(ids)), score, n))
+                ids, score = ids[kept], score[kept]
+            self.found[same] = ids, score
+        return self.found[same]
+
     def _possible(self, a: int, shared: np.ndarray) -> np.ndarray:
         """Ids that may be among the k best of anchor a."""
         if self.plain:
@@ -250,18 +304,9 @@ class Group:
 
     def scored(self, a: int, everyone: bool = False):
         """(ids, scores) of the possible candidates of anchor a; may hold a itself."""
-        c, row = self.c, self.rows[a]
-        own = np.searchsorted(self.people, c.co[c.co_at[row] : c.co_at[row + 1]])
-        parts = [self.posted[self.posted_at[i] : self.posted_at[i + 1]] for i in own]
-        shared, times = np.unique(np.concatenate(parts), return_counts=True) if parts else (self.posted[:0], self.posted[:0])
-        base = self.base(a)
+        shared, times = self._shared(a)
         ids = self.everyone if everyone else self._possible(a, shared)
-        both = np.zeros(len(ids), np.int64)
-        both[np.searchsorted(ids, shared)] = times
-        union = self.count[a] + self.count[ids] - both
-        score = 0.35 * np.where(union > 0, both / np.maximum(union, 1), 0.0)
-        score = score + 0.10 * ((self.u_prefix[ids] == self.u_prefix[a]) & (self.u_prefix[a] >= 0))
-        return ids, score if base is None else base[self.name[ids]] + score
+        return ids, self._scores(a, ids, shared, times)
 
     def passes(self, a: int, ids: np.ndarray):
         """(priority 2, 3, or 9 for none; code of the common prefix of priority 3) of the ids."""
@@ -345,12 +390,13 @@ def _candidate_finder(k: int, window: int, with_names: bool):
                     left = k - len(have)
                     if left <= 0:
                         continue
-                    ids, score = g.scored(a)
+                    enough = g.enough_near(a)
+                    ids, score = g.leading_near(a) if enough else g.scored(a)
                     keep = ids != a
                     own = c.at[have]
                     if (own >= 0).any():
                         keep &= ~np.isin(ids, own)
-                    priority, prefix = g.passes(a, ids)
+                    priority, prefix = (np.full(len(ids), 2), np.full(len(ids), -1)) if enough else g.passes(a, ids)
                     keep &= priority < 9
                     ids, score, priority, prefix = ids[keep], score[keep], priority[keep], prefix[keep]
                     order = np.lexsort((ids, -score, priority))[:left]
@@ -387,28 +433,59 @@ def _sliced(rows: DataFrame, instances: DataFrame, column: str) -> DataFrame:
     """Rows by key (the column, else the id) and slice, sorted by id; anchor: the slice's own rows, the others are
     the rest of the group.  Rows without the column have no group, so each is alone."""
     large = instances.filter(F.col(column) != "").groupBy(F.concat(F.lit("k|"), F.col(column)).alias("key")).agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices")).filter("slices > 1")
-    keyed = rows.withColumn("key", F.when(F.col(column) != "", F.concat(F.lit("k|"), F.col(column))).otherwise(F.concat(F.lit("n|"), "id")))
-    cut = keyed.join(F.broadcast(large), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))  # at most one key for SLICE rows
+    keyed = rows.withColumn("key", F.concat(F.lit("k|"), F.nullif(column, F.lit(""))))
+    cut = keyed.join(F.broadcast(large), "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).drop("key")  # at most one key for SLICE rows
     cut = cut.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("anchor", F.pmod(F.xxhash64("id"), F.col("slices")) == F.col("slice"))
+    if "first" in rows.columns:  # author ids are read of anchors alone then
+        cut = cut.withColumn("author_id", F.when(F.col("anchor"), F.col("author_id"))).withColumn("first", F.when(F.col("anchor"), F.transform("first", lambda x: x.withField("id", _short(x["id"])))))
+    group = F.when(F.col(column) != "", F.xxhash64(column)).otherwise(F.xxhash64("id"))
+    moved = cut.drop("slices").withColumn("id", _short(F.col("id"))).repartition(PARTS * default_parallelism(rows.sparkSession), group, "slice")
+    back = moved.withColumn("id", _long(F.col("id")))
     if "first" in rows.columns:
-        cut = cut.withColumn("first", F.when(F.col("anchor"), F.col("first")))
-    return cut.drop("slices").repartition(PARTS * default_parallelism(rows.sparkSession), "key", "slice").sortWithinPartitions("key", "slice", "id")
+        back = back.withColumn("first", F.transform("first", lambda x: x.withField("id", _long(x["id"]))))
+    key = F.when(F.col(column) != "", F.concat(F.lit("k|"), F.col(column))).otherwise(F.concat(F.lit("n|"), "id"))
+    return back.withColumn("key", key).sortWithinPartitions("key", "slice", "id")
+
+
+def _short(text: Column) -> Column:
+    """A text as bytes, half as many if it is hexadecimal, as hashes are; for the way through a shuffle."""
+    return F.when(text.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"\x01"), F.unhex(text))).otherwise(F.concat(F.lit(b"\x00"), text.cast("binary")))
+
+
+def _long(short: Column) -> Column:
+    rest = F.substring(short, 2, 2**31 - 1)
+    return F.when(F.substring(short, 1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("author_instance_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _again(instances: DataFrame) -> DataFrame:
+    """(bucket): of the ids that come several times, as a written table; all ids of other buckets come once."""
+    hashes = instances.filter("author_instance_id is not null").groupBy(F.xxhash64("author_instance_id").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return Scratch(instances.sparkSession, "again").keep(hashes.filter("n > 1").select(F.pmod("h", F.lit(BUCKETS)).cast("int").alias("bucket")).distinct())
+
 
+def _rows(instances: DataFrame, name: str, again: DataFrame | None = None) -> DataFrame:
+    """The distinct keys of each instance that aren't truncated, with what is scored: that of its first row.
 
-def _rows(instances: DataFrame, name: str) -> DataFrame:
-    """The distinct keys of each instance that aren't truncated, with what is scored: that of its first row."""
+    Only rows of ids that may come several times are brought together by id, the others stay where they are."""
+    again = _again(instances) if again is None else again
+    known = instances.filter("author_instance_id is not null").withColumn("_b", _bucket())
+    once, several = (known.join(F.broadcast(again), F.col("_b") == F.col("bucket"), how) for how in ("left_anti", "left_semi"))
     own = F.struct(F.col("author_id"), F.col("name_key"), F.col("year_int").alias("year"), F.col("record_affil_prefix").alias("prefix"))
     first = F.min(F.struct(*dict.fromkeys([*INSTANCE_ORDER, name]), "coauthor_keys"))
-    one = instances.filter("author_instance_id is not null").groupBy(F.col("author_instance_id").alias("id")).agg(F.collect_set(F.when(~F.col("truncation_flag"), own)).alias("own"), first.alias("u"))
-    return one.select("id", F.explode("own").alias("e"), "u").select(
-        "id", "e.*", F.col("u.coauthor_keys").alias("u_coauthors"), F.col("u.record_affil_prefix").alias("u_prefix"),
-        F.coalesce(f"u.{name}", F.lit("")).alias("u_name"), F.col("u.year_int").alias("u_year"), F.col("u.query_frame").alias("u_frame"),
-    )
+    one = several.groupBy(F.col("author_instance_id").alias("id")).agg(F.collect_set(F.when(~F.col("truncation_flag"), own)).alias("own"), first.alias("u"))
+    scored = lambda u: (F.col(f"{u}coauthor_keys").alias("u_coauthors"), F.col(f"{u}record_affil_prefix").alias("u_prefix"), F.coalesce(f"{u}{name}", F.lit("")).alias("u_name"), F.col(f"{u}year_int").alias("u_year"), F.col(f"{u}query_frame").alias("u_frame"))
+    together = one.select("id", F.explode("own").alias("e"), "u").select("id", "e.*", *scored("u."))
+    return once.filter(~F.col("truncation_flag")).select(F.col("author_instance_id").alias("id"), "author_id", "name_key", F.col("year_int").alias("year"), F.col("record_affil_prefix").alias("prefix"), *scored("")).unionByName(together)
 
 
-def _any_id_has_several_keys(instances: DataFrame) -> bool:
+def _any_id_has_several_keys(instances: DataFrame, again: DataFrame) -> bool:
     keys = F.xxhash64(*(F.struct(F.col(x)) for x in ("author_id", "name_key", "year_int", "record_affil_prefix")), *(F.col(x).isNull() for x in ("author_id", "name_key", "year_int", "record_affil_prefix")))
-    of = instances.filter(~F.col("truncation_flag")).groupBy(F.xxhash64("author_instance_id").alias("id")).agg(F.min(keys).alias("a"), F.max(keys).alias("b"))
+    several = instances.filter(~F.col("truncation_flag")).withColumn("_b", _bucket()).join(F.broadcast(again), F.col("_b") == F.col("bucket"), "left_semi")
+    of = several.groupBy(F.xxhash64("author_instance_id").alias("id")).agg(F.min(keys).alias("a"), F.max(keys).alias("b"))
     return bool(of.filter("a <> b").limit(1).collect())
 
 
@@ -416,12 +493,15 @@ def best_pairs(instances: DataFrame, k: int, year_window: int, with_names: bool,
     """(anchor_id, candidate_id, best_pass_id, best_block_key, pass_priority, score, rank, years and query frames
     of both): the k best of each anchor among the pairs of ``blocking.author_pairs``, by 0.35 co-author Jaccard +
     0.10 same affiliation prefix, with_names also + 0.55 name ratio."""
-    rows = _rows(instances, name)
+    again = _again(instances)
+    rows = _rows(instances, name, again)
     if not with_names:  # not read, so not moved either
         rows = rows.withColumns({"u_name": F.lit(""), "u_year": F.lit(None).cast("int"), "u_frame": F.lit(None).cast("string")})
-    by_id = _sliced(rows, instances, "author_id").mapInArrow(_id_finder(k, with_names), f"{_ROW}, {_FIRST}")
+    by_id = _sliced(rows.filter("author_id <> ''"), instances, "author_id").mapInArrow(_id_finder(k, with_names), f"{_ROW}, {_FIRST}")
+    alone = rows.filter("author_id is null or author_id = ''").withColumn("first", F.array().cast(_FIRST.split(" ", 1)[1]))
+    by_id = by_id.unionByName(alone)
     found = _sliced(by_id, instances, "name_key").mapInArrow(_candidate_finder(k, year_window, with_names), _OUT)
-    if not _any_id_has_several_keys(instances):
+    if not _any_id_has_several_keys(instances, again):
         return found
     # an id with several keys is in several groups: the best k of each of them hold its best k
     best = F.min_by(F.struct("best_pass_id", "best_block_key", "pass_priority", "score", "a_year_int", "c_year_int", "a_query_frame", "c_query_frame"), F.struct("pass_priority", "best_block_key"))
